@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, rans, sharding, toxicity
+from . import bpe, decontam, jaccard, quality, rans, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_toxicity, op5_decontaminate, op7_shard, op8_token_file, op9_bpe, op10_quality]
+    named = [op3_jaccard, op4_toxicity, op5_decontaminate, op7_shard, op8_token_file, op9_bpe, op10_quality]
     return {f.__name__: f for f in named}
 
 

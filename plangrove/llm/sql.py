@@ -21,4 +21,23 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op5_decontaminate": OP5}
+_CLASSES = rf"""
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x20\x09-\x0D]+') AS w FROM docs0
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 80 * (na + nb - k)),
+reach(v, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.v, l.b FROM reach JOIN l ON reach.r = l.a)
+"""
+OP3 = f"""
+WITH RECURSIVE docs0 AS (SELECT doc_id, text FROM documents), {_CLASSES}
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id FROM s JOIN reach ON v = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_jaccard": OP3,
+    "op5_decontaminate": OP5,
+}

@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-Severity has ordered grades.  One weight vector over sparse features (log counts of words chosen by their
+Severity has ordered grades.  One weight vector over sparse features (log counts of words and word beginnings chosen by their
 association with the label) is shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k) with rising theta.  The
 output is the expected grade, the sum of those probabilities, and the decision P(grade > 0) >= ``threshold``.
 
@@ -23,14 +23,32 @@ from .common import text_column
 from .decontam import words_of
 from .quality import sample_labels
 
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 #: Words that may carry a weight.
 MAX_FEATURES = 2_000
 #: Labelled texts that a word must occur in, and the standard errors it must stand out by, to be a feature.
 LEAST_TEXTS = 12
 LEAST_Z = 5.0
 GRADES = 4
-THRESHOLD = 0.5
+THRESHOLD = 0.4
+
+
+#: Words whose features one worker remembers.
+CACHE_WORDS = 200_000
+
+
+def features_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings: invented and inflected insults share a stem."""
+    return [word, *(b"^" + word[:k] for k in range(4, min(8, len(word))))]
+
+
+def _count(text: bytes | None, only=None) -> Counter:
+    out: Counter = Counter()
+    for w, n in Counter(words_of(text)).items():
+        for f in features_of(w):
+            if only is None or f in only:
+                out[f] += n
+    return out
 
 
 @dataclass
@@ -38,36 +56,46 @@ class Ordinal:
     weights: dict[bytes, float]
     theta: np.ndarray
 
+    def __post_init__(self):
+        self._of: dict[bytes, tuple[bytes, ...]] = {}
+
     def above(self, text: bytes | None) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        get, z = self.weights.get, 0.0
-        seen = Counter(w for w in words_of(text) if w in self.weights)
-        for w in sorted(seen):
-            z += get(w) * float(np.log1p(seen[w]))
+        of, weights, seen = self._of, self.weights, Counter()
+        if len(of) > CACHE_WORDS:
+            of.clear()
+        for w, n in Counter(words_of(text)).items():
+            known = of.get(w)
+            if known is None:
+                known = of[w] = tuple(f for f in features_of(w) if f in weights)
+            for f in known:
+                seen[f] += n
+        z = sum(weights[f] * float(np.log2(1 + seen[f])) for f in sorted(seen))
         return 1 / (1 + np.exp(-np.clip(z - self.theta, -40, 40)))
 
 
-def fit(texts: list[bytes | None], toxic: np.ndarray, max_features: int = MAX_FEATURES, rounds: int = 400, rate: float = 0.1, ridge: float = 2e-5) -> Ordinal:
+def fit(texts: list[bytes | None], toxic: np.ndarray, max_features: int = MAX_FEATURES, rounds: int = 400, rate: float = 0.1, ridge: float = 5e-6) -> Ordinal:
     """Chooses the words, derives the grades, fits weights and thresholds by Adam on the whole sample."""
-    counts = [Counter(words_of(t)) for t in texts]
     n = len(texts)
     n1 = int(toxic.sum())
     if not n or n1 in (0, n):
         return Ordinal({}, np.array([40.0 if n1 == 0 else -40.0] * (GRADES - 1)))
     inside, every = Counter(), Counter()
-    for c, t in zip(counts, toxic, strict=True):
-        every.update(c.keys())
+    for text, t in zip(texts, toxic, strict=True):
+        found = _count(text).keys()
+        every.update(found)
         if t:
-            inside.update(c.keys())
+            inside.update(found)
     share = n1 / n
     # how far a word's toxic share lies from the overall one, in standard errors
     z = {w: (inside[w] - m * share) / np.sqrt(m * share * (1 - share)) for w, m in every.items() if m >= LEAST_TEXTS}
     chosen = sorted((w for w in z if abs(z[w]) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:max_features]
     strong = {w for w in chosen if z[w] > 5 and inside[w] >= 0.5 * every[w]}
+    counts = [_count(t, set(chosen)) for t in texts]
     n_strong = np.array([sum(c[w] for w in strong & c.keys()) for c in counts])
     grade = np.where(toxic == 0, 0, np.where(n_strong >= 3, 3, np.where(n_strong >= 1, 2, 1)))
     at = {w: k for k, w in enumerate(chosen)}
-    cells = [(i, at[w], np.log1p(m)) for i, c in enumerate(counts) for w, m in c.items() if w in at]
+    cells = [(i, at[w], np.log2(1 + m)) for i, c in enumerate(counts) for w, m in c.items() if w in at]
     rows, cols, vals = (np.array(x) for x in zip(*cells, strict=True)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     beyond = grade[:, None] > np.arange(GRADES - 1)[None, :]
     w, first = np.zeros(len(chosen)), np.log((1 - beyond.mean(0) + 1e-3) / (beyond.mean(0) + 1e-3))
