@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plangrove.llm import bpe, decontam, quality, toxicity
+from plangrove.llm import bpe, decontam, jaccard, quality, toxicity
 from plangrove.llm.common import materialise, table
 from plangrove.llm.queries import tokenizer_path
 
@@ -26,6 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, model, out="__t").where("NOT __t.toxic").select(*docs.columns)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates, once."""
+    found = jaccard.join(docs)
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(least, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    # only rows that repeat an id can still be equal
+    return kept.dropDuplicates(["doc_id"])
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages contaminate."""
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), out="__d")
@@ -40,6 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("toxicity", drop_toxic),
+    ("near-duplicates", one_of_each),
     ("decontamination", drop_contaminated),
     ("bpe", tokens),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, quality, rans, sharding, toxicity
+from . import bpe, counts, decontam, jaccard, lm, quality, rans, sharding, topk, toxicity
 from .common import table
 
 
@@ -18,6 +18,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.train(docs), out="s").select("doc_id", "s.*")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -33,6 +42,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), out="d").select("doc_id", "d.*").drop("spans")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), out="n_tokens").select("doc_id", "n_tokens")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -56,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_jaccard, op4_toxicity, op5_decontaminate, op7_shard, op8_token_file, op9_bpe, op10_quality]
+    named = [op1_topk, op2_pseudo_likelihood, op3_jaccard, op4_toxicity, op5_decontaminate, op6_token_counts, op7_shard, op8_token_file, op9_bpe, op10_quality]
     return {f.__name__: f for f in named}
 
 
