@@ -7,7 +7,7 @@ bound, if all of its ids are larger).  The k-th score is shared: each block firs
 scores found there go with the block to all other shards, which return only what improves on them.
 
 Components are integers (``floor(scale * x)``), so scores are exact as long as they fit 53 bits; larger ones are computed in
-Python integers.
+Python integers and held at the limits of 64 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SHARD_ROWS = 8_192
 LEAF_ROWS = 64
 BLOCK_QUERIES = 256
 _NONE = np.iinfo(np.int64).min
+_LIMIT = np.iinfo(np.int64).max
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -103,11 +104,11 @@ class BallTree:
             if self.exact and q.dtype != object:
                 score = (qf[rows] @ self.f[a:b].T).astype(np.int64)
             else:
-                score = np.array([[int(sum(int(u) * int(v) for u, v in zip(y, z, strict=True))) for z in self.x[a:b]] for y in q[rows]], np.int64)
+                score = np.array([[max(-_LIMIT, min(_LIMIT, sum(int(u) * int(v) for u, v in zip(y, z, strict=True)))) for z in self.x[a:b]] for y in q[rows]], np.int64)
             ids = np.broadcast_to(self.ids[a:b], score.shape)
             score = np.where(ids == q_ids[rows][:, None], _NONE, score)
             all_s, all_i = np.concatenate((best[rows], score), 1), np.concatenate((best_id[rows], ids), 1)
-            pick = np.lexsort((all_i, -all_s.astype(np.float64) if self.exact else -all_s), axis=1)[:, :k]
+            pick = np.lexsort((all_i, np.where(all_s == _NONE, _LIMIT, -all_s)), axis=1)[:, :k]
             best[rows], best_id[rows] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
             last, last_id = best[rows, k - 1], best_id[rows, k - 1]
             better = (last > _NONE) & ((last > kth[rows]) | ((last == kth[rows]) & (last_id < kth_id[rows])))
