@@ -13,11 +13,13 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
+def local_session(cores: int = 8, partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("plangrove")
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
