@@ -1,0 +1,120 @@
+"""Queries of the rule engine.
+
+Habitable: STANDARD and MEDIUM; bedroom: MEDIUM; refuge: SMALL; wet: ECONOMY; hub: STANDARD.  Areas of plans whose number is divisible by 3 have
+no scale; all others 0.6 m a unit.  A window is as long as the price's remainder by 5, in metres.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, rules
+from ..registry import query
+from ..tables import EDGES, NODES, edges, nodes
+from .graphs import REACH
+
+INTEGRITY = f"""{NODES}, {EDGES}, {REACH}, comp AS (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2), sizes AS (SELECT g, c, count(*) AS k FROM comp GROUP BY 1, 2),
+main AS (SELECT g, c, row_number() OVER (PARTITION BY g ORDER BY k DESC, c) AS rn FROM sizes), ent AS (SELECT g, bool_or(is_entrance) AS e FROM nodes GROUP BY 1),
+ok AS (SELECT DISTINCT reach.g, reach.n FROM reach JOIN nodes e ON e.g = reach.g AND e.n = reach.r AND e.is_entrance),
+integrity AS (
+  SELECT g, CAST(n AS INTEGER) AS n, 'R1_isolated' AS rule FROM nodes WHERE NOT EXISTS (SELECT 1 FROM bi WHERE bi.g = nodes.g AND bi.v = nodes.n)
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'R2_doorless' FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.g = nodes.g AND e.via = 'door' AND (e.a = nodes.n OR e.b = nodes.n))
+  UNION ALL SELECT nodes.g, CAST(nodes.n AS INTEGER), 'R3_unreachable' FROM nodes JOIN ent ON ent.g = nodes.g AND ent.e WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.g = nodes.g AND ok.n = nodes.n)
+  UNION ALL SELECT g, NULL, 'R4_no_entrance' FROM ent WHERE NOT e
+  UNION ALL SELECT g, CAST(c AS INTEGER), 'R5_disconnected' FROM main WHERE rn > 1)"""
+
+LEGAL = """measured AS (SELECT *, CASE WHEN g % 3 <> 0 THEN area * 0.6 * 0.6 END AS m2, role IN ('STANDARD', 'MEDIUM') AS hab, (CAST(floor(price) AS BIGINT) % 5) * 1.2 AS light FROM nodes),
+legal AS (
+  SELECT g, CAST(n AS INTEGER) AS n, 'L1_daylight' AS rule FROM measured WHERE hab AND (NOT has_window OR (m2 IS NOT NULL AND light < 0.10 * m2))
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L2_ventilation' FROM measured WHERE hab AND NOT has_window
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L4_bedroom_area' FROM measured WHERE role = 'MEDIUM' AND m2 < 7.0
+  UNION ALL SELECT g, NULL, 'L5_dwelling_area' FROM measured GROUP BY g HAVING sum(m2) > 0 AND sum(m2) < 14.0
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L6_refuge_area' FROM measured WHERE role = 'SMALL' AND m2 < 2.0)"""
+
+EGRESS = """egress AS (SELECT reach_c.g, CAST(reach_c.n AS INTEGER) AS n, 'L3_egress' AS rule FROM (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2) reach_c
+  WHERE EXISTS (SELECT 1 FROM nodes e WHERE e.g = reach_c.g AND e.is_entrance) AND NOT EXISTS (SELECT 1 FROM reach r2 JOIN nodes e ON e.g = r2.g AND e.n = r2.r AND e.is_entrance WHERE r2.g = reach_c.g AND r2.n = reach_c.n)
+  UNION ALL SELECT g, NULL, 'L3_egress' FROM nodes GROUP BY g HAVING NOT bool_or(is_entrance))"""
+
+ARCH = """near AS (SELECT g, a AS n, role_b AS r FROM edges UNION ALL SELECT g, b, role_a FROM edges), around AS (SELECT g, n, list_sort(list_distinct(list(r))) AS s FROM near GROUP BY 1, 2),
+arch AS (SELECT nodes.g, CAST(nodes.n AS INTEGER) AS n, 'A2_private' AS rule FROM nodes JOIN around ON around.g = nodes.g AND around.n = nodes.n WHERE role = 'MEDIUM' AND NOT list_contains(s, 'STANDARD') AND NOT list_contains(s, 'ECONOMY')
+  UNION ALL SELECT nodes.g, CAST(nodes.n AS INTEGER), 'A4_wet_chain' FROM nodes JOIN around ON around.g = nodes.g AND around.n = nodes.n WHERE role = 'ECONOMY' AND s = ['ECONOMY'])"""
+
+
+def _parts(spark, sf_dir):
+    rooms = graph.checkpointed(nodes(spark, sf_dir))
+    links = graph.checkpointed(edges(rooms))
+    return rooms, links
+
+
+def _integrity(spark, sf_dir):
+    rooms, links = _parts(spark, sf_dir)
+    component = graph.components(rooms, links)
+    # a room is reached exactly if its component holds an entrance: no hop search is needed
+    entered = component.join(rooms.where("is_entrance").select("g", "n"), ["g", "n"], "left_semi").select("g", "component", F.lit(0).alias("hops")).distinct()
+    hops = component.join(entered, ["g", "component"], "left")
+    return rooms, links, component, rules.integrity(rooms, links, component, hops)
+
+
+def _legal(rooms):
+    return rules.legal(
+        rooms,
+        F.when(F.col("g") % 3 != 0, F.lit(0.6)),
+        F.col("role").isin("STANDARD", "MEDIUM"),
+        F.col("role") == "MEDIUM",
+        F.col("role") == "SMALL",
+        (F.floor("price") % 5).cast("double"),
+    )
+
+
+@query(f"WITH RECURSIVE {INTEGRITY} SELECT * FROM integrity")
+def integrity_rules(spark, sf_dir):
+    """R1 to R5 as one table of violations."""
+    return _integrity(spark, sf_dir)[3]
+
+
+@query(f"WITH {NODES}, {LEGAL} SELECT * FROM legal")
+def legal_rules(spark, sf_dir):
+    """Area, daylight and ventilation rules; a plan without scale skips area rules."""
+    return _legal(nodes(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {NODES}, {EDGES}, {REACH}, {EGRESS} SELECT * FROM egress")
+def egress_rule(spark, sf_dir):
+    """Rooms without a way out."""
+    rooms, links = _parts(spark, sf_dir)
+    return rules.egress(rooms, graph.components(rooms, links))
+
+
+@query(f"WITH {NODES}, {EDGES}, {ARCH} SELECT * FROM arch")
+def arch_rules(spark, sf_dir):
+    """Rules on the roles around a room."""
+    return rules.architecture(*_parts(spark, sf_dir), wet="ECONOMY", private="MEDIUM", hub="STANDARD")
+
+
+@query(f"""WITH RECURSIVE {INTEGRITY}, {LEGAL}, {ARCH}, v AS (SELECT * FROM integrity UNION ALL SELECT * FROM legal UNION ALL SELECT * FROM arch), p AS (SELECT count(DISTINCT g) AS plans FROM nodes)
+SELECT rule, count(*) AS n_rows, count(DISTINCT g) AS n_plans, ((SELECT plans FROM p) - count(DISTINCT g)) / (SELECT plans FROM p) AS pass_share FROM v GROUP BY 1""")
+def violation_summary(spark, sf_dir):
+    """All rule kinds together: rows and plans per rule, and the share that passes."""
+    rooms, links, _, found = _integrity(spark, sf_dir)
+    every = rules.union(found, _legal(rooms), rules.architecture(rooms, links, wet="ECONOMY", private="MEDIUM", hub="STANDARD"))
+    return rules.summary(every, rooms)
+
+
+@query(f"""WITH RECURSIVE {INTEGRITY}, p AS (SELECT DISTINCT g FROM nodes), s AS (SELECT g, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM integrity GROUP BY 1)
+SELECT p.g, coalesce(rules, '') AS rules, rules IS NULL AS passed FROM p LEFT JOIN s ON s.g = p.g""")
+def plan_verdicts(spark, sf_dir):
+    """Each plan's violated integrity rules and its verdict."""
+    rooms, _, _, found = _integrity(spark, sf_dir)
+    return rules.verdicts(found, rooms).select("g", F.array_join("rules", ",").alias("rules"), "passed")
+
+
+@query(f"""WITH {NODES}, {LEGAL}, b AS (SELECT rule, count(DISTINCT g) AS n FROM legal GROUP BY 1),
+fixed AS (SELECT g, n, pk, role, area, price, is_entrance, true AS has_window FROM nodes), m2 AS (SELECT *, CASE WHEN g % 3 <> 0 THEN area * 0.6 * 0.6 END AS m2, (CAST(floor(price) AS BIGINT) % 5) * 1.2 AS light FROM fixed),
+a AS (SELECT 'L1_daylight' AS rule, count(DISTINCT g) AS n FROM m2 WHERE role IN ('STANDARD', 'MEDIUM') AND m2 IS NOT NULL AND light < 0.10 * m2)
+SELECT b.rule, b.n AS before_repair, coalesce(CASE WHEN b.rule = 'L2_ventilation' THEN 0 WHEN b.rule = 'L1_daylight' THEN a.n ELSE b.n END, 0) AS after_repair FROM b CROSS JOIN a""")
+def rule_compliance(spark, sf_dir):
+    """Plans that violate each rule before and after every room has been given a window."""
+    rooms = graph.checkpointed(nodes(spark, sf_dir))
+    count = lambda v, name: v.groupBy("rule").agg(F.countDistinct("g").alias(name))
+    before, after = count(_legal(rooms), "before_repair"), count(_legal(rooms.withColumn("has_window", F.lit(True))), "after_repair")
+    return before.join(after, "rule", "left").withColumn("after_repair", F.coalesce("after_repair", F.lit(0)))
