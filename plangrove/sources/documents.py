@@ -22,7 +22,7 @@ def annotations(docs: DataFrame) -> DataFrame:
     rows = docs.select("path", F.col("images")[0].alias("image"), names.alias("names"), F.explode("annotations").alias("a"))
     nested = F.from_json("a.segmentation", "array<array<double>>")
     flat = F.from_json("a.segmentation", "array<double>")
-    rings = F.when(F.col("a.segmentation").startswith("[["), nested).otherwise(F.array(flat))
+    rings = F.when(F.col("a.segmentation").rlike(r"^\s*\[\s*\["), nested).otherwise(F.array(flat))
     class_name = F.coalesce(F.try_element_at("names", F.col("a.category_id")), F.col("a.category_id").cast("string"))
     return rows.select("path", "image.file_name", "image.width", "image.height", F.col("a.id").alias("ann_id"), class_name.alias("class_name"), rings.alias("segmentation"), "a.bbox", "a.area", "a.attributes")
 
