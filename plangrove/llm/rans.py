@@ -24,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache
-from .common import byte_texts, materialise, slices
+from .common import byte_texts, materialise, slices, tidied
 
 MAGIC = b"PGR1"
 LANES = 2048
 BLOCK_TOKENS = 1 << 19
 SEGMENT_TOKENS = 1 << 22
+#: Text that is split and numbered at a time.
+SLICE_BYTES = 1 << 22
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<4sIIIQQIIII")
@@ -176,8 +178,8 @@ def unpack_segment(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(2)
-def _library(path: str) -> ChunkCache:
-    """Ids by piece of text, from the tokenizers library; a batch's unknown pieces go to it together."""
+def _library(path: str) -> PieceIds:
+    """Ids by piece of text, from the tokenizers library; unknown pieces go to it many at a time."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -185,35 +187,94 @@ def _library(path: str) -> ChunkCache:
     known.no_truncation()
     known.no_padding()
 
-    class Batched(ChunkCache):
-        def prepare(self, texts: list[list[bytes]]) -> None:
-            new, old, want = self.new, self.old, set()
-            for pieces in texts:
-                want.update(pieces)
-            # what is asked now moves to the young generation, so that filling the cache cannot lose it
-            unknown = [p for p in want if p not in new]
-            stems = [(p, p[:-1]) if p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122 else (p, p) for p in unknown]
-            ask = list({s for p, s in stems if p not in old and s not in new and s not in old} | ({b".", b","} - new.keys()))
-            if len(new) + len(unknown) + len(ask) > self.limit:
-                self.old, self.new = new, {}
-                old, new = new, self.new
-                unknown = list(want)
-                stems = [(p, p[:-1]) if p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122 else (p, p) for p in unknown]
-                ask = list({s for p, s in stems if p not in old and s not in old} | {b".", b","})
-            for p, e in zip(ask, known.encode_batch_fast([a.decode() for a in ask], add_special_tokens=False), strict=True):
-                new[p] = np.array(e.ids, "<u4").tobytes()
-            for p, s in stems:
-                if p in new:
-                    continue
-                found = old.get(p)
-                if found is None:
-                    head = new.get(s)
-                    if head is None:
-                        head = old[s]
-                    found = head if s is p else head + new[p[-1:]]
-                new[p] = found
-
-    return Batched(None, None, 500_000)
+    #: A word of its own in any text; splits the ids of many pieces that one call encodes.
+    (mark,) = known.encode("0", add_special_tokens=False).ids
+    def encode(pieces: list[bytes]) -> list[bytes]:
+        plain = [p for p in pieces if b"0" not in p and b"<|" not in p]
+        out = {}
+        for k in range(0, len(plain), 200):
+            some = plain[k : k + 200]
+            ids = np.array(known.encode(b" 0 ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) != len(some) - 1:
+                raise ValueError("the mark between pieces is not a token of its own")
+            raw, at = ids.tobytes(), 0
+            for p, b in zip(some, [*(4 * cut).tolist(), 4 * len(ids)], strict=True):
+                out[p] = raw[at:b]
+                at = b + 4
+        apart = [p for p in pieces if p not in out]
+        for p, x in zip(apart, known.encode_batch_fast([p.decode() for p in apart], add_special_tokens=False), strict=True):
+            out[p] = np.array(x.ids, "<u4").tobytes()
+        return [out[p] for p in pieces]
+
+    return PieceIds(encode)
+
+
+class PieceIds:
+    """Ids of white-space-free pieces as bytes, remembered in two bounded generations."""
+
+    def __init__(self, encode, limit: int = 250_000):
+        self.encode, self.limit, self.new, self.old = encode, limit, {}, {}
+
+    def of(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.new) + len(distinct) > self.limit:
+            self.old, self.new = self.new, {}
+        codes = list(map(self.new.get, distinct))
+        missing = [k for k, c in enumerate(codes) if c is None]
+        old, ask = self.old.get, []
+        for k in missing:
+            codes[k] = old(distinct[k])
+            if codes[k] is None:
+                ask.append(k)
+        for k, c in zip(ask, self.encode([distinct[k] for k in ask]), strict=True):
+            codes[k] = c
+        self.new.update((distinct[k], codes[k]) for k in missing)
+        return codes
+
+
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARKS = np.array([chr(c) in ".,#$%&*!|" for c in range(256)])
+
+
+def _apart(texts: pa.Array) -> pa.Array:
+    """The texts in lower case (A-Z), with a space between a letter and a mark behind it: a tokenizer splits there anyway.
+
+    A text with a special token's mark stays as it is.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    lower = _LOWER[data]
+    cut = np.flatnonzero(_MARKS[lower[1:]] & _LETTER[lower[:-1]]) + 1
+    moved = offsets - offsets[0]
+    moved = moved + np.searchsorted(cut, moved, side="left")
+    # a cut at a text's very start belongs to the text before: it would be a space at its end
+    spaced = np.insert(lower, cut, 32)
+    out = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(spaced))
+    special = pc.match_substring(texts, "<|")
+    return pc.if_else(special, texts, out) if pc.any(special).as_py() else out
+
+
+def _coded(cache, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts one after another, each with the end id, and their numbers.
+
+    Arrow splits the texts and numbers their distinct pieces; only those are looked up, all else is indexing.
+    """
+    lists = pc.ascii_split_whitespace(_apart(texts))
+    numbered = lists.flatten().dictionary_encode()
+    codes = cache.of(byte_texts(numbered.dictionary))
+    flat, sizes = np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) >> 2 for c in codes], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    index = numbered.indices.to_numpy(zero_copy_only=False)
+    n = sizes[index]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    per_text = np.diff(ends[bounds - bounds[0]])
+    at = np.arange(ends[-1])
+    ids = np.full(len(at) + len(texts), end_id, np.uint32)
+    ids[at + np.repeat(np.arange(len(texts)), per_text)] = flat[np.repeat(starts[index] - ends[:-1], n) + at]
+    return ids, per_text + 1
 
 
 def _encode(path: str, end_id: int, segment_tokens: int):
@@ -221,12 +282,11 @@ def _encode(path: str, end_id: int, segment_tokens: int):
         from pyspark import TaskContext
 
         cache, part, seq = _library(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         docs, lengths, held, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             row = [[part], [seq], [len(docs)], [len(ids)], [pack_segment(docs, lengths, ids)]]
             seq, size = seq + 1, 0
             docs.clear(), lengths.clear(), held.clear()
@@ -234,19 +294,15 @@ def _encode(path: str, end_id: int, segment_tokens: int):
 
         for batch in batches:
             at, doc_ids = 0, batch.column(0).to_pylist()
-            for piece in slices(batch.column(1)):
-                texts = [cache.pieces(t or b"") for t in byte_texts(piece)]
-                cache.prepare(texts)
-                get = cache.new.__getitem__
-                for pieces in texts:
-                    coded = b"".join([*map(get, pieces), end])
-                    docs.append(doc_ids[at])
-                    lengths.append(len(coded) >> 2)
-                    held.append(coded)
-                    size += lengths[-1]
-                    at += 1
-                    if size >= segment_tokens:
-                        yield flush()
+            for piece in slices(batch.column(1), SLICE_BYTES):
+                coded, n = _coded(cache, piece, end_id)
+                docs += doc_ids[at : at + len(piece)]
+                lengths += n.tolist()
+                at += len(piece)
+                size += len(coded)
+                held.append(coded)
+                if size >= segment_tokens:
+                    yield flush()
         if docs:
             yield flush()
 
@@ -262,7 +318,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    coded = ordered.mapInArrow(_encode(path, end_id, segment_tokens), "part int, seq int, n_docs long, n_tokens long, blob binary")
+    coded = ordered.mapInArrow(tidied(_encode(path, end_id, segment_tokens)), "part int, seq int, n_docs long, n_tokens long, blob binary")
     return materialise(coded, "rans-file")
 
 
@@ -284,7 +340,7 @@ def read_digests(segments: DataFrame) -> DataFrame:
     """Decodes a segment file: ``doc_id, start, n_tokens, ids_crc32`` per document."""
     w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     base = segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
-    docs = segments.select("part", "seq", "blob").mapInArrow(_decode, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = segments.select("part", "seq", "blob").mapInArrow(tidied(_decode), "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -298,4 +354,4 @@ def read_ids(segments: DataFrame) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return segments.select("blob").mapInArrow(run, "doc_id long, ids array<int>")
+    return segments.select("blob").mapInArrow(tidied(run), "doc_id long, ids array<int>")
