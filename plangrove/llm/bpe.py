@@ -37,7 +37,7 @@ from .common import text_column
 #: Stands for the word end in the matcher; no stand-in character of a byte.
 MARK = "\ue000"
 #: Entries of the bounded word cache of one worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 @functools.lru_cache(1)
@@ -71,6 +71,7 @@ class Bpe:
         self._lefts: dict[str, list] = {}
         self._fit_ids: dict[int, bool] = {}
         self._start = len(self.names) + 1
+        self.fit_limit = 600_000
         #: What each token was merged from last, and that merge's rank.
         self._made: dict[str, tuple[str, str, int]] = {}
         for k, (x, y) in enumerate(merges):
@@ -174,7 +175,7 @@ class Bpe:
         return out
 
     def _fit(self, key: int) -> bool:
-        if len(self._fit_ids) > 3_000_000:
+        if len(self._fit_ids) > self.fit_limit:
             self._fit_ids.clear()
         a, b = key >> 20, self.names[key & 0xFFFFF]
         ok = self._is_own(b) if a == self._start else self.fits(self.names[a], b)

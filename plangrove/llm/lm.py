@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise, slices, text_column
+from .common import byte_texts, materialise, slices, text_column, tidied
 from .decontam import words_of
 
 VOCAB = 256
@@ -171,7 +171,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Vocabulary and network from all texts of ``docs`` (null texts add nothing; without words the start network)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidied(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS - 1).collect()]
     shared = spark.sparkContext.broadcast(words)
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             flat = trainer.net.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64)), pa.array(np.full(len(flat), seen, np.int64))], ["i", "w", "n"])
 
-    copies = texts.mapInArrow(run, "i int, w double, n long")
+    copies = texts.mapInArrow(tidied(run), "i int, w double, n long")
     mean = copies.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
     got = materialise(mean, "lm-network").toPandas().sort_values("i")
     return Model(words, got["w"].to_numpy(np.float32) if len(got) else Network.start().flat())

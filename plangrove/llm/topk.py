@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidied
 
 #: Vectors of a shard, and of a leaf, and queries of a block.
 SHARD_ROWS = 8_192
@@ -247,7 +247,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     def searched(sent: DataFrame, name: str) -> DataFrame:
         to = sent.select("dim", "shard", (F.col("block") + 1).alias("tag"), "blob")
         both = trees.union(to).repartition(n_tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "tag")
-        return materialise(both.mapInArrow(_search(k), "dim int, block int, query_id long, id long, score long"), name)
+        return materialise(both.mapInArrow(tidied(_search(k)), "dim int, block int, query_id long, id long, score long"), name)
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     first = searched(asked.withColumn("shard", home), "topk-home")

@@ -34,7 +34,7 @@ THRESHOLD = 0.4
 
 
 #: Words whose features one worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def features_of(word: bytes) -> list[bytes]:
