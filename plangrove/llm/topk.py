@@ -207,18 +207,23 @@ def _search(k: int):
 
 
 def _with_floor(k: int):
-    def run(key, left, right):
-        blobs = left.column("blob").to_pylist()
+    """A block's rows (its blob, or a result of its home shard) to its blob with the k-th scores found there."""
+
+    def run(key, rows):
+        blobs, queries, ids, scores = (rows.column(c).to_pylist() for c in ("blob", "query_id", "id", "score"))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for q, i, s in zip(queries, ids, scores, strict=True):
+            if q is not None:
+                found.setdefault(q, []).append((-s, i))
         out = []
         for blob in blobs:
-            z = _load(blob)
-            got = right.to_pandas().sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-            got["r"] = got.groupby("query_id").cumcount()
-            last = got[got["r"] == k - 1].set_index("query_id")
-            at = {int(q): n for n, q in enumerate(z["ids"])}
-            for q, s, i in zip(last.index, last["score"], last["id"], strict=True):
-                z["floor"][at[int(q)]], z["floor_id"][at[int(q)]] = s, i
-            out.append(_pack(**z))
+            if blob is not None:
+                z = _load(blob)
+                for n, q in enumerate(z["ids"].tolist()):
+                    best = sorted(found.get(q, ()))
+                    if len(best) >= k:
+                        z["floor"][n], z["floor_id"][n] = -best[k - 1][0], best[k - 1][1]
+                out.append(_pack(**z))
         return pa.table({"dim": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array([key[1].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
     return run
@@ -251,7 +256,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     first = searched(asked.withColumn("shard", home), "topk-home")
-    floored = asked.groupBy("dim", "block").cogroup(first.groupBy("dim", "block")).applyInArrow(_with_floor(k), "dim int, block int, blob binary")
+    both = asked.unionByName(first, allowMissingColumns=True)
+    floored = both.groupBy("dim", "block").applyInArrow(_with_floor(k), "dim int, block int, blob binary")
     floored = materialise(floored, "topk-floors")
     others = floored.withColumn("shard", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array(home)))).withColumn("shard", F.col("shard").cast("int"))
     found = first.union(searched(others, "topk-rest")) if shards > 1 else first
