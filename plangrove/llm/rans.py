@@ -338,8 +338,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(segments: DataFrame) -> DataFrame:
     """Decodes a segment file: ``doc_id, start, n_tokens, ids_crc32`` per document."""
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
+    # a running total over partitions (few rows), then one inside each
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = segments.select("part", "seq", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_tokens").over(before("part", "seq")), F.lit(0))
+    base = sizes.withColumn("inside", inside).join(parts, "part").select("part", "seq", (F.col("first") + F.col("inside")).alias("base"))
     docs = segments.select("part", "seq", "blob").mapInArrow(tidied(_decode), "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
