@@ -84,7 +84,8 @@ def test_rans_round_trip(n):
             rans.unpack_segment(bytes(broken))
 
 
-def test_token_file(spark, library):
+def test_token_file(spark, library, monkeypatch):
+    monkeypatch.setattr(rans, "SLICE_BYTES", 40)
     docs = frame(spark)
     segments = rans.write_ids(docs, WORD, segment_tokens=50)
     assert segments.count() > 1
