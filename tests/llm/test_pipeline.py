@@ -42,3 +42,34 @@ def test_near_duplicate_stage_is_idempotent(spark, sf_dir):
     groups = jaccard.join(docs)
     assert once.count() == groups.select("component_id").distinct().count()
     assert once.where("doc_id is null").count() == 0
+
+
+def test_run_against_brute_force(spark, sf_dir):
+    """Each stage redone in plain Python, with the models that the stages fit."""
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from plangrove.llm import quality, toxicity
+
+    from .test_pairs_and_layout import brute_components
+    from .test_text_operators import brute_decontam
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    good = quality.train(docs, labels)
+    rows = {i: t for i, t in rows.items() if good.score(np.array([quality.features(t.encode())]))[0] >= quality.THRESHOLD}
+    kept = docs.where(docs["doc_id"].isin(list(rows)))
+    rude = toxicity.train(kept, labels)
+    rows = {i: t for i, t in rows.items() if rude.above(t.encode())[0] < toxicity.THRESHOLD}
+    rows = {i: rows[i] for i, _, least in brute_components(sorted(rows.items())) if i == least}
+    items = [(str(r.item_id), r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    rows = {i: t for i, t in rows.items() if not brute_decontam(t, items)[4]}
+    library = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for i, t in sorted(rows.items()):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+    assert 0 < len(want) < docs.count()
