@@ -64,20 +64,20 @@ def box_adjacency(spark, sf_dir):
     return pairs.where(G.shared_wall(F.col("p"), F.col("q"), 2.0, 1.0)).select("g", "a", "b")
 
 
-@query(f"WITH {BOXES} SELECT a.pk % 50 AS sheet, count(*) AS n_pairs FROM ids a JOIN ids b ON a.pk % 50 = b.pk % 50 AND (a.g, a.id) < (b.g, b.id) WHERE a.k = 1 AND b.k = 1 AND a.g % 20 = 0 AND b.g % 20 = 0 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1")
+@query(f"WITH {BOXES} SELECT a.pk AS sheet, count(*) AS n_pairs FROM ids a JOIN ids b ON a.pk = b.pk AND (a.g, a.id) < (b.g, b.id) AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1")
 def overlapping_boxes(spark, sf_dir):
-    """Overlaps among many boxes of a sheet, by a grid."""
-    b = numbered(spark, sf_dir).where("k = 1 and g % 20 = 0").select((F.col("pk") % 50).alias("sheet"), F.struct("g", "id").alias("id"), "box")
+    """Overlaps among all boxes of a sheet (those of one part), by a grid."""
+    b = numbered(spark, sf_dir).select(F.col("pk").alias("sheet"), F.struct("g", "id").alias("id"), "box")
     return matching.box_pairs(b, b, ["sheet"], cell=16.0).where("id_l < id_r").groupBy("sheet").agg(F.count("*").alias("n_pairs"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 25 = 0), d AS (
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), d AS (
  SELECT q.vec_id AS lid, e.vec_id AS rid, list_sum(list_transform(list_zip(q.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)
 SELECT lid, rid, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d2, rid) AS rank FROM d) WHERE rank <= 2""")
 def knn_assign(spark, sf_dir):
-    """The two nearest vectors of the same label for each query vector, by exact distance; the label is the plan they share."""
+    """The two nearest vectors of the same label for each query vector (every id divisible by 50), by exact distance; the label is the plan they share."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    left = e.where("vec_id % 25 = 0").select("label", F.col("vec_id").alias("lid"), F.col("v").alias("p"))
+    left = e.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("lid"), F.col("v").alias("p"))
     right = e.select("label", F.col("vec_id").alias("rid"), F.col("v").alias("q"))
     d2 = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     met = left.join(right, "label").where("lid <> rid").withColumn("distance", d2)
@@ -109,6 +109,5 @@ def baseline_generate(spark, sf_dir):
     from .graphs import _cooccurrence
 
     fit = {(r["x"], r["y"]): r["p"] for r in _cooccurrence(spark, sf_dir).where("p is not null").toLocalIterator()}
-    rooms = nodes(spark, sf_dir).where("g % 10 >= 8")
-    programs = rooms.groupBy("g").agg(F.array_sort(F.collect_list("role")).alias("roles"))
+    programs = nodes(spark, sf_dir).groupBy("g").agg(F.array_sort(F.collect_list("role")).alias("roles"))
     return generate.GENERATORS.make("statistical", fit, seed=0)(programs)

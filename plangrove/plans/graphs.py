@@ -6,8 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, graph, windows
+from ..functions import scalars as S
 from ..registry import query
 from ..tables import EDGES, HOUSES, NODES, edges, house_types, nodes, table
+from .releases import split_sql
+
+#: Plans are split as units are: training against val and test.
+TRAIN = f"({split_sql('g')}) = 'train'"
 
 
 def _graph(spark, sf_dir):
@@ -82,12 +87,12 @@ def window_probability(spark, sf_dir):
     return nodes(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.count_if("has_window").alias("with_window"), (F.count_if("has_window") / F.count("*")).alias("p"))
 
 
-@query(f"""WITH {NODES}, {EDGES}, h AS (SELECT g % 2 AS side, least(role_a, role_b) AS x, greatest(role_a, role_b) AS y, count(*) AS n FROM edges GROUP BY 1, 2, 3),
+@query(f"""WITH {NODES}, {EDGES}, h AS (SELECT CASE WHEN {TRAIN} THEN 0 ELSE 1 END AS side, least(role_a, role_b) AS x, greatest(role_a, role_b) AS y, count(*) AS n FROM edges GROUP BY 1, 2, 3),
 a AS (SELECT x, y, n / (SELECT greatest(1, sum(n)) FROM h WHERE side = 0) AS p FROM h WHERE side = 0), b AS (SELECT x, y, n / (SELECT greatest(1, sum(n)) FROM h WHERE side = 1) AS p FROM h WHERE side = 1)
 SELECT round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 9) AS l1 FROM a FULL JOIN b ON a.x = b.x AND a.y = b.y""")
 def adjacency_l1(spark, sf_dir):
     """L1 distance of the pair distributions of two populations."""
-    links = _graph(spark, sf_dir)[1].select((F.col("g") % 2).alias("side"), F.least("role_a", "role_b").alias("x"), F.greatest("role_a", "role_b").alias("y"))
+    links = _graph(spark, sf_dir)[1].select(F.when(S.split_of(F.col("g")) == "train", 0).otherwise(1).alias("side"), F.least("role_a", "role_b").alias("x"), F.greatest("role_a", "role_b").alias("y"))
     h = graph.checkpointed(links.groupBy("side", "x", "y").agg(F.count("*").alias("n")))
     return aggregates.l1_distance(h.where("side = 0").drop("side"), h.where("side = 1").drop("side"), ["x", "y"]).select(F.round("l1", 9).alias("l1"))
 
@@ -100,22 +105,22 @@ def signatures(rooms):
     return c.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "k"))), lambda e: F.concat_ws(":", e["role"], e["k"].cast("string"))), ";").alias("program"))
 
 
-@query(f"""WITH {NODES}, {SIGNATURES}, t AS (SELECT DISTINCT program FROM sig WHERE g % 10 < 8), e AS (SELECT sig.program, t.program IS NULL AS fresh FROM sig LEFT JOIN t ON t.program = sig.program WHERE g % 10 >= 8)
+@query(f"""WITH {NODES}, {SIGNATURES}, t AS (SELECT DISTINCT program FROM sig WHERE {TRAIN}), e AS (SELECT sig.program, t.program IS NULL AS fresh FROM sig LEFT JOIN t ON t.program = sig.program WHERE NOT {TRAIN})
 SELECT count(*) AS n, count(DISTINCT program) AS n_distinct, count(DISTINCT program) / count(*) AS diversity, count(*) FILTER (WHERE fresh) / count(*) AS novelty FROM e""")
 def diversity_novelty(spark, sf_dir):
     """Distinct signatures over all, and the share that training does not hold."""
-    s = graph.checkpointed(signatures(nodes(spark, sf_dir)))
-    seen = s.where("g % 10 < 8").select("program").distinct().withColumn("seen", F.lit(True))
-    e = s.where("g % 10 >= 8").join(seen, "program", "left")
+    s = graph.checkpointed(signatures(nodes(spark, sf_dir)).withColumn("train", S.split_of(F.col("g")) == "train"))
+    seen = s.where("train").select("program").distinct().withColumn("seen", F.lit(True))
+    e = s.where("not train").join(seen, "program", "left")
     return e.agg(F.count("*").alias("n"), F.countDistinct("program").alias("n_distinct"), (F.countDistinct("program") / F.count("*")).alias("diversity"), (F.count_if(F.col("seen").isNull()) / F.count("*")).alias("novelty"))
 
 
-@query(f"WITH {NODES}, {SIGNATURES}, t AS (SELECT DISTINCT program FROM sig WHERE g % 10 < 8) SELECT CASE WHEN program IN (SELECT program FROM t) THEN 'seen' ELSE 'unseen' END AS part, count(*) AS n FROM sig WHERE g % 10 >= 8 GROUP BY 1")
+@query(f"WITH {NODES}, {SIGNATURES}, t AS (SELECT DISTINCT program FROM sig WHERE {TRAIN}) SELECT CASE WHEN program IN (SELECT program FROM t) THEN 'seen' ELSE 'unseen' END AS part, count(*) AS n FROM sig WHERE NOT {TRAIN} GROUP BY 1")
 def seen_unseen_split(spark, sf_dir):
     """Test plans by whether training holds their program."""
-    s = graph.checkpointed(signatures(nodes(spark, sf_dir)))
-    seen = s.where("g % 10 < 8").select("program").distinct().withColumn("seen", F.lit(True))
-    return s.where("g % 10 >= 8").join(seen, "program", "left").groupBy(F.when(F.col("seen"), "seen").otherwise("unseen").alias("part")).agg(F.count("*").alias("n"))
+    s = graph.checkpointed(signatures(nodes(spark, sf_dir)).withColumn("train", S.split_of(F.col("g")) == "train"))
+    seen = s.where("train").select("program").distinct().withColumn("seen", F.lit(True))
+    return s.where("not train").join(seen, "program", "left").groupBy(F.when(F.col("seen"), "seen").otherwise("unseen").alias("part")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {NODES}, {EDGES}, d AS (SELECT g, v AS n, count(*) AS degree FROM (SELECT g, a AS v FROM edges UNION ALL SELECT g, b FROM edges) GROUP BY 1, 2) SELECT nodes.g, CAST(nodes.n AS INTEGER) AS n, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d ON d.g = nodes.g AND d.n = nodes.n")
@@ -210,8 +215,6 @@ def adjacent_pair_scale(spark, sf_dir):
 SELECT l_orderkey AS g, count(*) AS rooms, count(scale) AS scaled, round(sum(l_quantity * scale * scale / 1e6), 9) AS area_m2 FROM lineitem LEFT JOIN s ON pk = l_partkey GROUP BY 1""")
 def scale_enrichment(spark, sf_dir):
     """Areas by a looked-up scale; rooms without one stay, unscaled."""
-    from ..functions import scalars as S
-
     scale = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") / F.lit(10.0)).alias("scale"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(scale, "l_partkey", "left")
     return li.groupBy(F.col("l_orderkey").alias("g")).agg(F.count("*").alias("rooms"), F.count("scale").alias("scaled"), F.round(F.sum(S.area_m2(F.col("l_quantity"), F.col("scale"))), 9).alias("area_m2"))

@@ -55,10 +55,10 @@ def dwelling_macro(spark, sf_dir):
     return m.groupBy("config").agg(of("APT").alias("apt"), of("DEH").alias("deh"), of("ROW").alias("row_house"), F.round(F.avg("v"), 6).alias("macro"), F.round(F.sum("v") / 3, 6).alias("macro_zero"))
 
 
-@query("SELECT event_type, event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn FROM events WHERE event_id % 2 = 0) WHERE rn = 1")
+@query("SELECT event_type, event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn FROM events WHERE value IS NOT NULL) WHERE rn = 1")
 def best_run(spark, sf_dir):
-    """The run with the least metric per kind, the smaller id on a tie, among loop-off rows."""
-    return aggregates.arg_min(table(spark, sf_dir, "events").where("event_id % 2 = 0"), ["event_type"], ["value", "event_id"], ["event_id", "user_id", "value"])
+    """The run with the least metric per kind, the smaller id on a tie."""
+    return aggregates.arg_min(table(spark, sf_dir, "events").where("value is not null"), ["event_type"], ["value", "event_id"], ["event_id", "user_id", "value"])
 
 
 @query(f"""WITH {LEDGER}, t AS (SELECT user_id, min(value) AS l1, event_id_div AS diversity FROM (SELECT *, (user_id % 97) / 97.0 AS event_id_div FROM ledger) GROUP BY user_id, event_id_div),

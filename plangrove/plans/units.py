@@ -129,9 +129,9 @@ def token_round_trip(spark, sf_dir):
 
 @query()
 def variant_clusters(spark, sf_dir):
-    """Greedy variants of plans with equal room counts, by their sorted areas within a tolerance; groups are small by key."""
-    rooms = nodes(spark, sf_dir).where("g % 4 = 0").groupBy("g").agg(F.array_sort(F.collect_list(F.col("area").cast("long"))).alias("cells"))
-    grouped = rooms.select(F.xxhash64(F.size("cells"), (F.get("cells", F.lit(0)) / 5).cast("int"), (F.array_max("cells") / 5).cast("int"), F.col("g") % 64).alias("grp"), F.col("g").alias("id"), "cells")
+    """Greedy variants of plans with equal room counts on a sheet of 64 plans, by their sorted areas within a tolerance."""
+    plans = nodes(spark, sf_dir).groupBy("g").agg(F.array_sort(F.collect_list(F.col("area").cast("long"))).alias("cells"))
+    grouped = plans.select(F.xxhash64(F.size("cells"), F.floor(F.col("g") / 64)).alias("grp"), F.col("g").alias("id"), "cells")
     return units.variants(grouped, 4)
 
 
