@@ -31,6 +31,8 @@ BUCKETS = 64
 HIDDEN = 24
 #: Tokens that a task trains on at a time.
 CHUNK_TOKENS = 1 << 22
+#: Steps that a chunk is worth at least: one with few distinct contexts is gone through again.
+LEAST_STEPS = 90
 #: Distinct words that a task holds before it reports them.
 HELD_WORDS = 300_000
 
@@ -98,13 +100,15 @@ class Trainer:
         self.m, self.v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
 
     def learn(self, context: np.ndarray, centre: np.ndarray, batch: int = 512) -> None:
-        """All windows of a chunk once; ``context`` is left * vocabulary + right."""
+        """All windows of a chunk, as often as ``LEAST_STEPS`` asks; ``context`` is left * vocabulary + right."""
         net, vocab = self.net, len(self.net.bias)
         cells, n = np.unique(context * vocab + centre, return_counts=True)
         of, token = cells // vocab, cells % vocab
         contexts, first = np.unique(of, return_index=True)
         ends = np.append(first[1:], len(of))
-        order = np.random.default_rng(len(cells)).permutation(len(contexts))
+        random = np.random.default_rng(len(cells))
+        passes = -(-LEAST_STEPS // -(-len(contexts) // batch))
+        order = np.concatenate([random.permutation(len(contexts)) for _ in range(passes)])
         for k in range(0, len(order), batch):
             pick = order[k : k + batch]
             c, u = contexts[pick], len(pick)
