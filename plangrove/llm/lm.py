@@ -4,19 +4,25 @@ The network predicts every token from the token on its left and the one on its r
 passed through tanh, and a softmax over the vocabulary follows.  A document's score is the sum of the conditional log
 probabilities of all of its tokens (its pseudo-log-likelihood).
 
-Tokens are words (decontamination's normalisation): the most frequent of the whole corpus each have an id, all others share
-``BUCKETS`` ids by CRC-32, one id is the text's boundary.  Word counts and training cover every word of every document: each task
-trains a copy from the same start on all windows of its documents, in numpy, with equal contexts taken together, and the copies
-are averaged by their number of windows.  What is gathered (word counts, model copies) grows with the corpus; the averaged model
-and a worker's memory do not.
+Tokens are words (decontamination's normalisation).  The softmax is factored: the most frequent words of the whole corpus each
+have a class, all others share ``BUCKETS`` classes by CRC-32, one class is the text's boundary; the network predicts classes from
+classes.  Within a shared class, a word that the corpus holds ``LEAST_COUNT`` times or more has its share of the class's tokens; the
+other words have the rest of the class together, dealt by a byte bigram model of the spelling of the corpus's rare words.  So every
+word is predicted, and the vocabulary grows with the corpus.
+
+Word counts and training cover every word of every document: each task trains a copy from the same start on all windows of its
+documents, in numpy, with equal contexts taken together, and the copies are averaged by their number of windows.  The averaged
+network is of fixed size; the vocabulary stays a table.  Its ``KNOWN_WORDS`` most frequent words are known to every worker, for speed
+only: occurrences of all others are joined with the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,12 @@ CHUNK_TOKENS = 1 << 22
 LEAST_STEPS = 90
 #: Distinct words that a task holds before it reports them.
 HELD_WORDS = 300_000
+#: Occurrences in the corpus that give a word a probability of its own.
+LEAST_COUNT = 2
+#: Words that every worker knows; the results do not depend on it.
+KNOWN_WORDS = 1 << 17
+#: Log probabilities are added up as whole numbers of this unit, so that sums do not depend on order.
+UNIT = 2.0**-24
 
 
 class Ids(dict):
@@ -156,10 +168,94 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield report()
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring bytes of distinct words, as first * 256 + second; byte 0 is in no word and stands for its ends."""
+    seen = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        text = np.frombuffer(b"\0" + b"\0".join(batch.column(0).to_pylist()) + b"\0", np.uint8).astype(np.int64)
+        seen += np.bincount(text[:-1] * 256 + text[1:], minlength=1 << 16)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["pair", "n"])
+
+
+def _word_key(w: bytes) -> int:
+    return int.from_bytes(hashlib.md5(w).digest()[:8], "big")
+
+
+@dataclass
+class Within:
+    """Log probabilities of words within their shared class."""
+
+    #: Sorted hashes of the words that every worker knows, and their log probabilities.
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Logarithm of each class's share of the words without a probability of their own.
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
+    #: Log probability of a byte after a byte.
+    spell: np.ndarray = field(default_factory=lambda: np.full(1 << 16, -np.log(256)))
+
+    def known(self, w: bytes) -> float:
+        """The log probability of a word that every worker knows, else NaN."""
+        key = np.uint64(_word_key(w))
+        k = int(self.keys.searchsorted(key))
+        return float(self.own[k]) if k < len(self.keys) and self.keys[k] == key else float("nan")
+
+    def spelled(self, w: bytes) -> float:
+        """That of a word without a probability of its own."""
+        text = np.frombuffer(b"\0" + w + b"\0", np.uint8).astype(np.int64)
+        # CRC-32 spreads spellings evenly over the classes: that of a given class is so many times as likely within it
+        return float(self.rest[zlib.crc32(w) % BUCKETS]) + min(0.0, float(self.spell[text[:-1] * 256 + text[1:]].sum()) + float(np.log(BUCKETS)))
+
+
+class Remembered(dict):
+    """Word to ``solve(word)``, remembered within a bound."""
+
+    def __init__(self, solve, known: dict | None = None):
+        super().__init__(known or {})
+        self.solve, self.room = solve, 200_000
+
+    def __missing__(self, w: bytes):
+        x = self.solve(w)
+        if self.room:
+            self.room -= 1
+            self[w] = x
+        return x
+
+
+def _bucket():
+    return F.pmod(F.crc32("word"), F.lit(BUCKETS)).cast("int")
+
+
+def _within(counts: DataFrame, top: list[bytes]) -> tuple[Within, DataFrame]:
+    """The factor within shared classes, from the counts of all words (``top`` have classes of their own); ``key, own`` of the vocabulary."""
+    shared = counts.where(~F.col("word").isin([F.lit(w) for w in top])) if top else counts
+    rare = shared.where(F.col("n") < LEAST_COUNT)
+    sums = shared.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < LEAST_COUNT, F.col("n")).otherwise(0)).alias("rare")).collect()
+    rest, size = np.ones(BUCKETS), np.ones(BUCKETS)  # words that the corpus does not hold count as one
+    for r in sums:
+        rest[r["bucket"]] += r["rare"]
+        size[r["bucket"]] += r["n"]
+    pairs = rare.select("word").mapInArrow(tidied(_count_pairs), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    follow = np.ones((256, 256))
+    for r in pairs:
+        follow[r["pair"] >> 8, r["pair"] & 255] += r["n"]
+    log_size = F.array(*(F.lit(float(x)) for x in np.log(size)))
+    hashed = F.conv(F.substring(F.md5("word"), 1, 16), 16, -10).cast("long")
+    words = shared.where(F.col("n") >= LEAST_COUNT).select("word", "n", hashed.alias("key"), (F.log("n") - F.get(log_size, _bucket())).alias("own"))
+    known = words.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("key", "own").toPandas()
+    keys = known["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    within = Within(keys[order], known["own"].to_numpy(np.float64)[order], np.log(rest / size), np.log(follow / follow.sum(1, keepdims=True)).ravel())
+    return within, words.select("key", "own")
+
+
 @dataclass
 class Model:
     words: list[bytes]
     flat: np.ndarray
+    within: Within = field(default_factory=Within)
+    #: ``key, own`` of all words of the vocabulary; stays on the driver.
+    vocabulary: DataFrame | None = None
 
     def table(self) -> np.ndarray:
         """Log probability of every token in every context, made once by a worker."""
@@ -172,11 +268,13 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Vocabulary and network from all texts of ``docs`` (null texts add nothing; without words the start network)."""
+    """Vocabulary, network and the factor within classes from all texts of ``docs`` (null texts add nothing; without words the start network)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     counts = texts.mapInArrow(tidied(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "lm-words")
     words = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS - 1).collect()]
+    within, vocabulary = _within(counts, words)
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +301,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     copies = texts.mapInArrow(tidied(run), "i int, w double, n long")
     mean = copies.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
     got = materialise(mean, "lm-network").toPandas().sort_values("i")
-    return Model(words, got["w"].to_numpy(np.float32) if len(got) else Network.start().flat())
+    return Model(words, got["w"].to_numpy(np.float32) if len(got) else Network.start().flat(), within, vocabulary)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lm") -> DataFrame:
@@ -211,23 +309,43 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lm"
 
     Null and empty texts: no tokens, 0 and null. Repeated rows are scored alike; an existing column ``out`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, vocabulary=None))
 
     def make():
         fitted = shared.value
         table = getattr(fitted, "_table", None)
         if table is None:
             table = fitted._table = fitted.table()
-        ids = Ids(fitted.words)
+        ids, within = Ids(fitted.words), fitted.within
+        known = Remembered(within.known, dict.fromkeys(fitted.words, 0.0))
+        other = Remembered(lambda w: (_word_key(w), within.spelled(w)))
 
         def step(texts):
-            n, total = [], []
+            n, total, size, tail = [], [], [0], []
             for t in texts:
-                x = ids.of(t)
+                words = words_of(t)
+                x = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                inner = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                left = Counter([words[k] for k in np.flatnonzero(np.isnan(inner)).tolist()])
                 n.append(len(x))
-                total.append(float(table[windows(x, VOCAB), x].sum(dtype=np.float64)) if len(x) else 0.0)
-            return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([s / k if k else None for s, k in zip(total, n, strict=True)], pa.float64())]
+                total.append(float(table[windows(x, VOCAB), x].sum(dtype=np.float64)) + float(np.nansum(inner)) if len(x) else 0.0)
+                tail += [(*other[w], k) for w, k in left.items()]
+                size.append(len(tail))
+            key, spelled, times = zip(*tail, strict=True) if tail else ((), (), ())
+            parts = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(spelled, pa.float64()), pa.array(times, pa.int64())]
+            return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(parts, ["key", "spelled", "times"]))]
 
         return step
 
-    return docs.withColumn(out, text_column(make, "struct<n_tokens:bigint,log_prob:double,mean_log_prob:double>", ["n_tokens", "log_prob", "mean_log_prob"])(F.col(text_col)))
+    first = text_column(make, "struct<n_tokens:bigint,part:double,tail:array<struct<key:bigint,spelled:double,times:bigint>>>", ["n_tokens", "part", "tail"])
+    scored = materialise(docs.withColumn(out, first(F.col(text_col))).withColumn("__row", F.monotonically_increasing_id()), "lm-scores")
+    tails = scored.select("__row", F.explode(f"{out}.tail").alias("t")).select("__row", "t.*")
+    own = F.col("spelled")
+    if model.vocabulary is not None:
+        tails, own = tails.join(model.vocabulary, "key", "left"), F.coalesce("own", "spelled")
+    sums = tails.groupBy("__row").agg(F.sum(F.col("times") * F.round(own / UNIT).cast("long")).alias("__tail"))
+    total = F.col(f"{out}.part") + F.coalesce(F.col("__tail") * UNIT, F.lit(0.0))
+    n = F.col(f"{out}.n_tokens")
+    done = F.struct(n.alias("n_tokens"), total.alias("log_prob"), F.when(n > 0, total / n).alias("mean_log_prob"))
+    columns = docs.columns if out in docs.columns else [*docs.columns, out]
+    return scored.join(sums, "__row", "left").withColumn(out, done).select(*columns)

@@ -218,3 +218,28 @@ def test_pseudo_likelihood(spark):
     want = sum(float(net.log_probs(np.array([around[k]]), np.array([around[k + 2]]))[1][0, around[k + 1]]) for k in range(len(ids)))
     assert abs(lm.score(docs, model, out="s").where("doc_id = 0").first().s.log_prob - want) < 1e-2
     assert lm.score(empty(spark), lm.train(empty(spark))).count() == 0
+
+
+def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
+    import zlib
+
+    # more words than classes; the probe words come late in the order of frequency and so share a class
+    words = [f"w{k:03d}" for k in range(400)]
+    rows = [(i, " ".join(words[: 400 - i])) for i in range(200)] + [(900, "zqonce"), (901, "w399")]
+    model = lm.train(frame(spark, rows))
+    assert b"w390" not in model.words and model.vocabulary.count() == 400 - len(model.words)
+    bucket = lambda w: zlib.crc32(w.encode()) % lm.BUCKETS
+    garbled = next(w for w in (f"zq{k}x" for k in range(10_000)) if bucket(w) == bucket("w390"))
+    probes = frame(spark, [(1, "w000 w390 w001"), (2, f"w000 {garbled} w001"), (3, "w000 zqonce w001 w395 zqonce")])
+    got = {r.doc_id: r.s.log_prob for r in lm.score(probes, model, out="s").collect()}
+    assert got[1] > got[2] + 1 and np.isfinite(got[3])
+    # what a class deals out to its words is a probability
+    for b in range(lm.BUCKETS):
+        own = [model.within.known(w.encode()) for w in words if w.encode() not in model.words and bucket(w) == b]
+        assert abs(np.exp(own).sum() + np.exp(model.within.rest[b]) - 1) < 1e-9
+    # how many words the workers know does not matter
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 3)
+    fewer = lm.train(frame(spark, rows))
+    assert len(fewer.within.keys) == 3
+    again = {r.doc_id: r.s.log_prob for r in lm.score(probes, fewer, out="s").collect()}
+    assert all(abs(again[k] - got[k]) < 1e-4 for k in got)
