@@ -3,14 +3,17 @@
 An Aho-Corasick automaton enumerates every vocabulary piece that ends at a position; the dynamic program keeps, per position, only the best score and
 the number of pieces on its path (no back pointers, no token ids).  Tie rules are those of the tokenizers library's unigram model: paths
 are tried by rising start position and a later one must be strictly better; where no one-character piece matches, an
-unknown character costs the least score minus 10, and neighbouring unknown characters on the path are one token.
+unknown character costs the least score minus 10, and falls back to one token for each of its UTF-8 bytes.
 
-No piece of the vocabulary goes on after a space mark, so white-space separated words are counted independently (and cached).
+The whole text is counted, normalised as the published file says: a space mark goes before it and each space becomes one; line ends,
+tabs and other white space stay.  Pieces with other characters hold a space mark at their start only, so no piece crosses the start of a
+run of space marks, nor a character that longer pieces do not hold, such as a line end: stretches between are counted independently (and cached).
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import ahocorasick
 import numpy as np
@@ -22,6 +25,8 @@ from .common import text_column
 
 SPACE = "▁"
 CACHE_WORDS = 300_000
+#: Characters of the longest stretch that is remembered.
+CACHE_LENGTH = 256
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -46,6 +51,9 @@ class Counter:
             self._finder.add_word(p, (len(p), s))
         self._finder.make_automaton()
         self.unknown = min(s for _, s in pieces) - 10.0
+        inside = {c for p, _ in pieces if len(p) > 1 for c in p}
+        apart = "".join(re.escape(c) for c in "\t\n\v\f\r\x85" if c not in inside)
+        self.stretches = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else "")).findall
         self.known: dict[str, int] = {}
         self.limit = limit
 
@@ -57,7 +65,7 @@ class Counter:
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, (size, score) in self._finder.iter(text):
             ends[end + 1].append((size, score))
-        best, count, open_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
         for e in range(1, n + 1):
             top, single = None, False
             for size, score in ends[e]:  # longest first, so starts rise
@@ -65,23 +73,27 @@ class Counter:
                     single = True
                 value = best[e - size] + score
                 if top is None or value > top:
-                    top, count[e], open_unknown[e] = value, count[e - size] + 1, False
+                    top, count[e] = value, count[e - size] + 1
             if not single:
                 value = best[e - 1] + self.unknown
                 if top is None or value > top:
-                    top, count[e], open_unknown[e] = value, count[e - 1] + (not open_unknown[e - 1]), True
+                    top, count[e] = value, count[e - 1] + len(text[e - 1].encode())
             best[e] = top
         return count[n]
 
     def count(self, text: str) -> int:
-        """Tokens of a whole text: words split at white space, each led by a space mark."""
+        """Tokens of a whole text."""
+        if not text:
+            return 0
         known, total = self.known, 0
         if len(known) > self.limit:
             known.clear()
-        for w in text.split():
+        for w in self.stretches(SPACE + text.replace(" ", SPACE)):
             c = known.get(w)
             if c is None:
-                c = known[w] = self.pieces(SPACE + w)
+                c = self.pieces(w)
+                if len(w) <= CACHE_LENGTH:
+                    known[w] = c
             total += c
         return total
 

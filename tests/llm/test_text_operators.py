@@ -243,3 +243,22 @@ def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
     assert len(fewer.within.keys) == 3
     again = {r.doc_id: r.s.log_prob for r in lm.score(probes, fewer, out="s").collect()}
     assert all(abs(again[k] - got[k]) < 1e-4 for k in got)
+
+
+def test_counts_keep_white_space_and_bytes(spark):
+    import random
+
+    import sentencepiece
+
+    file = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    own = counts.Counter(counts.vocabulary(PIECE))
+    r = random.Random(4)
+    hard = ["a\nb", "a   b", "   ", " a ", "  x", "\n", "a\n\n\n b\t\tc \r\n d", "\U0001F9FF\U0001F9FF x", "a\u3000b\x85c", "a \u2581 b", "x" + " " * 40 + "\n" * 9]
+    hard += ["".join(r.choice(["a", "the", "ing", " ", "  ", "\n", "\t", "é", "日", "\U0001F9FF", ".", "1"]) for _ in range(60)) for _ in range(40)]
+    for t in hard:
+        # in stretches as in one go
+        assert own.count(t) == own.pieces("▁" + t.replace(" ", "▁")), t
+    for t in ["a\nb", "a   b", "   ", " a ", "  x", "\n", "a\n\nb", "a\tb", "\U0001F9FF\U0001F9FF x", "x" + " " * 16]:
+        assert own.count(t) == len(file.encode(t)), t
+    got = {r.doc_id: r.n_tokens for r in counts.count_tokens(frame(spark, list(enumerate(hard))), PIECE).collect()}
+    assert [got[k] for k in range(len(hard))] == [own.pieces("▁" + t.replace(" ", "▁")) for t in hard]
