@@ -27,12 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, once."""
-    found = jaccard.join(docs)
-    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    # only rows that repeat an id can still be equal
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps the document with the smallest id of each group of near-duplicates, once.
+
+    Rows count one by one, by id and text: those that repeat an id, or have none, are kept unless another row is their
+    near-duplicate or equals them in both. A null id is the largest; ties go by a hash of the text.
+    """
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    rows = docs.withColumn("__row", key)
+    found = jaccard.join(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    named = found.join(rows.select("__row", "doc_id").distinct(), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

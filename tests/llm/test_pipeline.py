@@ -73,3 +73,28 @@ def test_run_against_brute_force(spark, sf_dir):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
     assert 0 < len(want) < docs.count()
+
+
+def test_near_duplicate_stage_takes_rows_not_ids(spark):
+    words = lambda tag, n=30: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [
+        (None, words("a")),
+        (None, words("b")),
+        (None, words("b") + " more"),
+        (1, words("c")),
+        (1, words("d")),
+        (1, words("d")),
+        (2, words("d") + " more"),
+        (3, words("e")),
+        (None, words("e")),
+        (4, ""),
+        (4, None),
+        (5, ""),
+        (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    b = [t for i, t in kept if i is None and t.startswith("b")]
+    assert len(b) == 1 and b[0] in (words("b"), words("b") + " more")
+    want = [(None, words("a")), (None, b[0]), (1, words("c")), (1, words("d")), (3, words("e")), (4, ""), (4, None), (5, ""), (None, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
