@@ -162,6 +162,10 @@ def policy_closure(spark, sf_dir):
     return both.agg(F.count("*").alias("n_groups"), F.count_if(F.col("raw") == 1).alias("closed_raw"), F.count_if(F.col("policy") == 1).alias("closed_policy"))
 
 
+#: Bytes of benchmark below which every item is broadcast.
+BROADCAST_BYTES = 8_000_000
+
+
 @query("SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def benchmark_contamination(spark, sf_dir):
     """Documents that hold an item's text verbatim, by item.
@@ -170,11 +174,14 @@ def benchmark_contamination(spark, sf_dir):
     """
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size < 8_000_000:
+    if size < BROADCAST_BYTES:
         hit = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("t"))), F.contains("text", F.col("t")))
     else:
         cut = lambda c: F.substring(c, 1, 24)
-        grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda i: F.substring("text", i, 24)))).alias("k"))
+        # an item shorter than 24 characters is met by grams of its own length
+        sizes = [r[0] for r in items.select(F.least(F.length("text"), F.lit(24))).distinct().collect() if r[0] is not None]
+        of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (k - 1), F.lit(1))), lambda i: F.substring("text", i, k))
+        grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*map(of, sizes)))).alias("k")) if sizes else docs.select("doc_id", "text", F.lit(None).cast("string").alias("k"))
         hit = grams.join(items.select("item_id", F.col("text").alias("t"), cut("text").alias("k")), "k").where(F.contains("text", F.col("t"))).select("item_id", "doc_id").distinct()
     n = hit.groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

@@ -198,3 +198,15 @@ def test_l1_distance_of_empty_histograms(spark):
     assert aggregates.l1_distance(a, a, ["k"]).first().l1 == 0.0
     assert aggregates.l1_distance(a, a.where("false"), ["k"]).first().l1 == 1.0
     assert aggregates.l1_distance(a.where("false"), a.where("false"), ["k"]).first().l1 == 0.0
+
+
+def test_contamination_does_not_depend_on_the_size_of_the_benchmark(spark, tmp_path, monkeypatch):
+    from plangrove.plans import releases
+
+    long = "a passage of more than twenty-four characters"
+    spark.createDataFrame([(1, f"x {long} y"), (2, "ab abc"), (3, ""), (4, None), (5, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", long), ("b", "abc"), ("c", "ab"), ("d", ""), ("e", None), ("f", "absent"), ("g", long[:24])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"a": 1, "b": 2, "c": 2, "d": 4, "e": 0, "f": 0, "g": 1}
+    for limit in (8_000_000, 0):
+        monkeypatch.setattr(releases, "BROADCAST_BYTES", limit)
+        assert {r.item_id: r.n_docs for r in releases.benchmark_contamination(spark, str(tmp_path)).collect()} == want, limit
