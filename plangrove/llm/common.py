@@ -98,6 +98,36 @@ def text_column(make: Callable[[], Callable[[list], list[pa.Array]]], schema: st
     return arrow_udf(run, schema)
 
 
+#: Bytes of remembered results of one operator in one worker, and of the longest key that is remembered.
+CACHE_BYTES = 48 << 20
+CACHE_KEY = 64
+
+
+class ByteCache:
+    """Results by key in two generations that together stay within a number of bytes; long keys are not kept.
+
+    ``new`` may be read directly; what it lacks is asked for with :meth:`get`.
+    """
+
+    def __init__(self, limit: int = CACHE_BYTES, longest: int = CACHE_KEY):
+        self.limit, self.longest, self.held = limit // 2, longest, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        return self.old.get(key) if found is None else found
+
+    def put(self, key, value, size: int = 0) -> None:
+        """Keeps a value whose parts take about ``size`` bytes beside 200 of objects and tables."""
+        if len(key) > self.longest or key in self.new:
+            return
+        self.held += 200 + len(key) + size
+        if self.held > self.limit:
+            self.old, self.new, self.held = self.new, {}, 200 + len(key) + size
+        self.new[key] = value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix), vectorised."""
     x = x.astype(np.uint64, copy=True)

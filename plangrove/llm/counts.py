@@ -21,12 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import ByteCache, text_column
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
-#: Characters of the longest stretch that is remembered.
-CACHE_LENGTH = 256
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -43,7 +40,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = CACHE_WORDS):
+    def __init__(self, pieces: list[tuple[str, float]]):
         if any(SPACE in p[1:] and p.strip(SPACE) for p, _ in pieces):
             raise ValueError("a piece goes on after a space mark; words cannot be counted apart")
         self._finder = ahocorasick.Automaton()
@@ -51,49 +48,64 @@ class Counter:
             self._finder.add_word(p, (len(p), s))
         self._finder.make_automaton()
         self.unknown = min(s for _, s in pieces) - 10.0
+        #: Positions that the longest piece can reach back over.
+        self.ring = max(len(p) for p, _ in pieces) + 1
         inside = {c for p, _ in pieces if len(p) > 1 for c in p}
         apart = "".join(re.escape(c) for c in "\t\n\v\f\r\x85" if c not in inside)
-        self.stretches = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else "")).findall
-        self.known: dict[str, int] = {}
-        self.limit = limit
+        self.stretches = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else ""))
+        self.known = ByteCache()
 
     def pieces(self, text: str) -> int:
-        """Tokens of one stretch of text, space marks included."""
-        n = len(text)
-        if not n:
-            return 0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (size, score) in self._finder.iter(text):
-            ends[end + 1].append((size, score))
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for e in range(1, n + 1):
-            top, single = None, False
-            for size, score in ends[e]:  # longest first, so starts rise
-                if size == 1:
-                    single = True
-                value = best[e - size] + score
-                if top is None or value > top:
-                    top, count[e] = value, count[e - size] + 1
+        """Tokens of one stretch of text, space marks included.
+
+        Best scores and counts of the last ``ring`` positions are kept, whatever the length; the matches come in order of their ends.
+        """
+        ring = self.ring
+        best, count = [0.0] * ring, [0] * ring
+        at, top, n, single = 0, 0.0, 0, True  # the position in work, its best score and count, whether one character matched there
+        unknown = self.unknown
+
+        def close() -> None:
+            """Settles the position in work: an unmatched character costs the unknown score and its bytes."""
+            nonlocal top, n
             if not single:
-                value = best[e - 1] + self.unknown
+                before = (at - 1) % ring
+                value = best[before] + unknown
                 if top is None or value > top:
-                    top, count[e] = value, count[e - 1] + len(text[e - 1].encode())
-            best[e] = top
-        return count[n]
+                    top, n = value, count[before] + len(text[at - 1].encode())
+            best[at % ring], count[at % ring] = top, n
+
+        for end, (size, score) in self._finder.iter(text):
+            end += 1
+            while at < end:
+                close()
+                at, top, single = at + 1, None, False
+            before = (end - size) % ring  # longest first, so starts rise
+            if size == 1:
+                single = True
+            value = best[before] + score
+            if top is None or value > top:
+                top, n = value, count[before] + 1
+        while at < len(text):
+            close()
+            at, top, single = at + 1, None, False
+        close()
+        return count[at % ring]
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        known, total = self.known, 0
-        if len(known) > self.limit:
-            known.clear()
-        for w in self.stretches(SPACE + text.replace(" ", SPACE)):
-            c = known.get(w)
+        known, new, total = self.known, self.known.new, 0
+        for m in self.stretches.finditer(SPACE + text.replace(" ", SPACE)):
+            w = m[0]
+            c = new.get(w)
             if c is None:
-                c = self.pieces(w)
-                if len(w) <= CACHE_LENGTH:
-                    known[w] = c
+                c = known.get(w)
+                if c is None:
+                    c = self.pieces(w)
+                known.put(w, c)
+                new = known.new
             total += c
         return total
 
