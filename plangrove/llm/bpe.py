@@ -1,13 +1,16 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-Encoding.  A token sequence is the BPE encoding of its text exactly when every two
-neighbouring tokens are compatible (merging the symbols of just those two gives the two back).
-So the encoding of each prefix of a word is the encoding of an earlier prefix plus one token,
-and all prefixes form a tree.  The transducer extends the tree symbol by symbol.  A future
-token can only start among the last ``longest token`` positions; the part of the path that all of
-those share is stable, is emitted and forgotten.  :attr:`Bpe.lookahead` is the span the merge list can
-need before that happens: the longest chain of merges in which each hands its left part,
-or its product, to a later merge on its left.  Memory per word is that span, however long the word.
+Encoding.  In a proper merge list (each token has one merge, later than those of its parts; checked when the file is read) a token
+sequence is the BPE encoding of its text exactly when every two neighbouring tokens are compatible (merging the
+symbols of just those two gives the two back).  So the encoding of each prefix of a word is the encoding of an earlier
+prefix plus one token, and the transducer extends the encodings of all prefixes symbol by symbol.
+
+Lookahead.  Apply the merges in order to a prefix and to any continuation of it and watch the last position up to which both have the same
+tokens.  It starts at the prefix's end and only moves when a merge (a, b) joins the last common token a with the next token of one of the two:
+by the length of a.  From then on the token at that position is a in one and ab in the other, each of which later merges may extend to the right or join to a token on
+its left.  :meth:`Bpe._sufficient_lookahead` walks the list from its last merge back and sums the longest such chain.  Tokens that end at
+least that many symbols before the end of what has been read are the same in every continuation: they are emitted and forgotten, and nothing
+else decides an emission.  Memory per word is that span, however long the word.
 
 Decoding.  :class:`TokenText` is an incremental state machine from ids to text: either the
 token strings joined by one space (what a tokenizer without a decoder gives), or bytes
@@ -25,6 +28,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -32,12 +36,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import ByteCache, text_column
 
-#: Stands for the word end in the matcher; no stand-in character of a byte.
+#: The word end as a symbol of its own for the matcher; no stand-in character of a byte.
 MARK = "\ue000"
-#: Entries of the bounded word cache of one worker.
-CACHE_WORDS = 200_000
+#: Symbols of a word that the transducer reads at a time.
+CHUNK = 1024
+#: Pieces whose ids are looked up, decoded and hashed at a time.
+RUN_PIECES = 1 << 16
 
 
 @functools.lru_cache(1)
@@ -64,8 +70,10 @@ class Bpe:
         self._cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._split = regex.compile(split)
-        self._stand = {b: c for b, c in byte_alphabet().items()}
+        self._stand = byte_alphabet()
+        self.byte_of = {c: b for b, c in self._stand.items()}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
+        self._check_proper(merges)
         self.lookahead = self._sufficient_lookahead(merges)
         self._spines: dict[str, list] = {}
         self._lefts: dict[str, list] = {}
@@ -79,27 +87,40 @@ class Bpe:
         self._finder = ahocorasick.Automaton()
         for t, i in self.ids.items():
             ended = self.end and t.endswith(self.end) and len(t) > len(self.end)
-            self._finder.add_word(t[: -len(self.end)] + MARK if ended else t, (i, self._size(t)))
+            symbols = t[: -len(self.end)] + MARK if ended else t
+            self._finder.add_word(symbols, (i, len(symbols)))
         self._finder.make_automaton()
 
     def _size(self, token: str) -> int:
         return len(token.removesuffix(self.end)) if self.end and len(token) > len(self.end) else len(token)
 
+    @staticmethod
+    def _check_proper(merges: list[tuple[str, str]]) -> None:
+        """Refuses a merge list for which encodings are not decided by neighbours in order of rank."""
+        made: dict[str, int] = {}
+        for k, (x, y) in enumerate(merges):
+            if x + y in made:
+                raise ValueError(f"two merges make {x + y!r}")
+            made[x + y] = k
+        if any(made.get(t, -1) > k for k, pair in enumerate(merges) for t in pair):
+            raise ValueError("a merge comes before those of its parts")
+
     def _sufficient_lookahead(self, merges: list[tuple[str, str]]) -> int:
-        """Symbols over which a change on the right can travel left through the merge list.
+        """Symbols by which the end of the common tokens of a prefix and its continuations can lie before the prefix's end.
 
-        After merge (a, b) the next change to its left is a later merge (z, a) or (z, ab) that then
-        happens or no longer happens.  The longest such chain, walked from the last merge back.
+        ``reach[t]``: how far the merges still to come can move it while the token t starts there.  Merge (a, b) extends a to ab, or it
+        joins b to the last common token a; then a or ab starts at the new place.
         """
         reach: dict[str, int] = {}
-        most = 0
+        get = reach.get
         for a, b in reversed(merges):
-            further = max(reach.get(a, 0), reach.get(a + b, 0))
-            here = self._size(a) + further
-            most = max(most, here)
-            if here > reach.get(b, 0):
-                reach[b] = here
-        return most + self.longest
+            grown, here = get(a + b, 0), get(a, 0)
+            joined = self._size(a) + max(here, grown)
+            if grown > here:
+                reach[a] = grown
+            if joined > get(b, 0):
+                reach[b] = joined
+        return max(reach.values(), default=0)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the lowest rank first, the leftmost of equals."""
@@ -147,34 +168,72 @@ class Bpe:
                     return False
         return True
 
-    def short(self, word: str) -> list[int]:
-        """Token ids of one word of plain symbols that fits the lookahead."""
-        fits, n, at = self._fit_ids, len(word), 0
-        last, back = [self._start] * (n + 1), [0] * (n + 1)
-        for end, (token, size) in self._finder.iter(word + MARK):
-            end += 1
-            if end <= n:
-                if end == n:  # the last symbol carries the word end
-                    continue
-            else:
-                end = n
-            if end == at:
+    def _read(self, matches, base: int, last: list[int], back: list[int]) -> None:
+        """The transducer's step: extends the encodings of prefixes by the matches that end in what has been read.
+
+        Place k holds the last token of the encoding of the symbols up to there and the place where it starts; place 0 is the last final boundary.
+        """
+        fits, fit, done = self._fit_ids, self._fit, 0
+        for end, (token, size) in matches:
+            end += 1 - base
+            if end == done:  # a match that fits came before: an encoding is unique
                 continue
             j = end - size
+            if j < 0:  # it would cross a final boundary
+                continue
             key = last[j] << 20 | token
             ok = fits.get(key)
             if ok is None:
-                ok = self._fit(key)
+                ok = fit(key)
             if ok:
-                last[end], back[end], at = token, j, end
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
+                last[end], back[end], done = token, j, end
+        if done < len(last) - 1:
+            raise ValueError("no token of the vocabulary ends here")
+
+    def transduce(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+        """Token ids of one word, given in chunks of symbols with ``MARK`` at its end; after each chunk those that the lookahead makes final."""
+        last, back, base = [self._start], [0], 0
+        finder, ended = self._finder.iter(""), False
+        for chunk in chunks:
+            finder.set(chunk)
+            last += [self._start] * len(chunk)
+            back += [0] * len(chunk)
+            self._read(finder, base, last, back)
+            ended, n = chunk.endswith(MARK), len(last) - 1
+            out, at = self._path(last, back, n, n if ended else n - self.lookahead)
+            if at > 0:
+                yield out
+                base += at
+                last, back = last[at:], [max(0, b - at) for b in back[at:]]
+        if not ended:
+            raise ValueError("the word has no end")
+
+    @staticmethod
+    def _path(last: list[int], back: list[int], at: int, until: int) -> tuple[list[int], int]:
+        """The tokens on the path to place ``at`` that end at ``until`` or before, and where the last of them ends."""
+        while at > max(until, 0):
+            at = back[at]
+        end, out = at, []
+        while at > 0:
+            out.append(last[at])
+            at = back[at]
         out.reverse()
-        return out
+        return out, end
+
+    def word(self, word: str) -> list[int]:
+        """Token ids of one word of plain symbols."""
+        word += MARK
+        n = len(word)
+        if n > CHUNK:
+            return [i for x in self.transduce(word[k : k + CHUNK] for k in range(0, n, CHUNK)) for i in x]
+        last, back = [self._start] * (n + 1), [0] * (n + 1)
+        self._read(self._finder.iter(word), 0, last, back)
+        return self._path(last, back, n, n)[0]
 
     def _fit(self, key: int) -> bool:
+        """Whether the second token of a pair may follow the first (or begin a word); remembered within a bound."""
+        if key in self._fit_ids:
+            return self._fit_ids[key]
         if len(self._fit_ids) > self.fit_limit:
             self._fit_ids.clear()
         a, b = key >> 20, self.names[key & 0xFFFFF]
@@ -182,71 +241,10 @@ class Bpe:
         self._fit_ids[key] = ok
         return ok
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word from its symbols (the last carries the word end), each once it is stable."""
-        vocab, fits, longest, hold = self.ids, self._fit_ids, self.longest, 2 * self.lookahead
-        window: list[str] = []
-        last: list[str] = [""]  # the last token of the encoding of each prefix of the window; [0]: what was emitted last
-        back: list[int] = [0]
-        for s in symbols:
-            window.append(s)
-            i = len(window)
-            body = "".join(window[max(0, i - longest) :]) if i > 1 else s
-            low = max(0, i - longest)
-            for j in range(low, i):
-                t = body[j - low :]
-                if t in vocab:
-                    key = (vocab[last[j]] if last[j] else self._start) << 20 | vocab[t]
-                    ok = fits.get(key)
-                    if ok is None:
-                        ok = self._fit(key)
-                    if ok:
-                        last.append(t)
-                        back.append(j)
-                        break
-            else:
-                raise ValueError(f"no token of the vocabulary ends with {s!r}")
-            if i >= hold:
-                stable = self._common(back, max(0, i - longest + 1), i)
-                if stable:
-                    path = []
-                    at = stable
-                    while at:
-                        path.append(last[at])
-                        at = back[at]
-                    yield from reversed(path)
-                    window = window[stable:]
-                    last = last[stable:]
-                    back = [0, *(b - stable for b in back[stable + 1 :])]
-                    keep = {0}
-                    for k in range(1, len(back)):  # positions that no longer lie on a live path
-                        if back[k] < 0 or back[k] not in keep:
-                            back[k], last[k] = -1, ""
-                        else:
-                            keep.add(k)
-        path, at = [], len(window)
-        while at:
-            path.append(last[at])
-            at = back[at]
-        yield from reversed(path)
-
     def _is_own(self, token: str) -> bool:
         """Whether the token encodes to itself."""
         return self.merge(self._symbols(token)) == [token]
 
-    @staticmethod
-    def _common(back: list[int], low: int, high: int) -> int:
-        """The furthest position on the paths of all positions from low to high."""
-        shared: set[int] | None = None
-        for p in range(low, high + 1):
-            path = set()
-            while p > 0:
-                path.add(p)
-                p = back[p]
-            if p == 0:
-                shared = path if shared is None else shared & path
-        return max(shared, default=0) if shared else 0
-
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pre-tokens in stand-in characters; a special token comes as it is, marked True."""
         at = 0
@@ -267,10 +265,8 @@ class Bpe:
         for word, special in [(text, False)] if text.isascii() and text.isalpha() and text.islower() else self.parts(text):
             if special:
                 out.append(self.special[word])
-            elif len(word) <= 2 * self.lookahead:
-                out += self.short(word)
             else:
-                out += [self.ids[t] for t in self.stream([*word[:-1], word[-1] + self.end])]
+                out += self.word(word)
         return out
 
 
@@ -283,63 +279,62 @@ class TokenText:
 
     def __init__(self, bpe: Bpe, joined: bool = True):
         self.bpe, self.joined, self.first = bpe, joined, True
-        self._bytes = {c: b for b, c in byte_alphabet().items()}
         self._utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
-        name = self.bpe.names[token_id]
+    def feed(self, *ids: int) -> str:
+        """The text that these ids add."""
+        names = self.bpe.names
         if self.joined:
-            out = name if self.first else " " + name
-            self.first = False
+            out = " ".join([names[i] for i in ids])
+            if ids and not self.first:
+                out = " " + out
+            self.first = self.first and not ids
             return out
+        return "".join([self._bytes_of(names[i]) for i in ids])
+
+    def _bytes_of(self, name: str) -> str:
         if name in self.bpe.special:
             return self._utf8.decode(b"", True) + name
         ended = bool(self.bpe.end) and name.endswith(self.bpe.end) and len(name) > len(self.bpe.end)
         body = name[: -len(self.bpe.end)] if ended else name
-        return self._utf8.decode(bytes(self._bytes[c] for c in body), ended) + (" " if ended else "")
+        known = self.bpe.byte_of
+        return self._utf8.decode(bytes([known[c] for c in body]), ended) + (" " if ended else "")
 
     def close(self) -> str:
         return "" if self.joined else self._utf8.decode(b"", True)
 
 
 class ChunkCache:
-    """Results by white-space-free piece of text, in two bounded generations.
+    """Ids by white-space-free piece of text, bounded by bytes.
 
     No pre-token crosses ASCII white space, and ASCII case does not matter unless a special token's
-    mark occurs, so a text's result is that of its pieces in order.
+    mark occurs, so a text's ids are those of its pieces in order.
     """
 
-    def __init__(self, solve, join, limit: int = CACHE_WORDS):
-        self.solve, self.join, self.limit = solve, join, limit
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
+    def __init__(self, solve):
+        self.solve, self.known = solve, ByteCache()
 
     @staticmethod
     def pieces(text: bytes) -> list[bytes]:
         return (text if b"<|" in text else text.lower()).split()
 
-    def fetch(self, pieces: list[bytes]) -> list[tuple]:
-        got = list(map(self.new.get, pieces))
+    def fetch(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        got = list(map(self.known.new.get, pieces))
         if None in got:
-            missing = [k for k, x in enumerate(got) if x is None]
-            for k in missing:
-                got[k] = self.one(pieces[k])
+            for k, x in enumerate(got):
+                if x is None:
+                    got[k] = self.one(pieces[k])
         return got
 
-    def one(self, piece: bytes) -> tuple:
-        found = self.new.get(piece)
+    def one(self, piece: bytes) -> tuple[int, ...]:
+        found = self.known.get(piece)
         if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                stem = piece[:-1]
-                if piece[-1] in b".," and stem and 97 <= stem[-1] <= 122:
-                    a, b = self.one(stem), self.one(piece[-1:])
-                    found = self.join(a, b)
-                else:
-                    found = self.solve(piece)
-            if len(self.new) >= self.limit:
-                self.old, self.new = self.new, {}
-            self.new[piece] = found
+            stem = piece[:-1]
+            if piece[-1] in b".," and stem and 97 <= stem[-1] <= 122:
+                found = self.one(stem) + self.one(piece[-1:])
+            else:
+                found = tuple(self.solve(piece.decode()))
+            self.known.put(piece, found, 8 * len(found))
         return found
 
 
@@ -350,36 +345,36 @@ def loaded(path: str) -> Bpe:
 
 @functools.lru_cache(2)
 def _cached(path: str) -> ChunkCache:
-    bpe = loaded(path)
-    digits, names = {i: b"%d" % i for i in bpe.names}, {i: t.encode() for i, t in bpe.names.items()}
-
-    def solve(piece: bytes) -> tuple[int, tuple[bytes, ...], tuple[bytes, ...]]:
-        ids = bpe.encode(piece.decode())
-        return len(ids), b" ".join([digits[i] for i in ids]), b" ".join([names[i] for i in ids])
-
-    return ChunkCache(solve, lambda a, b: (a[0] + b[0], a[1] + b" " + b[1], a[2] + b" " + b[2]))
+    return ChunkCache(loaded(path).encode)
 
 
 def encode_digests(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe") -> DataFrame:
-    """Adds a struct ``out``: ``n_tokens, ids_sha256, decoded_sha256`` of whole texts.
+    """Adds a struct ``out``: ``n_tokens, ids_sha256, decoded_sha256`` of whole texts; the ids go through the incremental decoder.
 
     A null text counts as empty: no tokens, the digests of nothing.  Repeated rows are encoded one by
     one; an existing column named ``out`` is replaced.
     """
 
     def make():
-        cache = _cached(path)
+        bpe, cache = loaded(path), _cached(path)
+        digits = {i: b"%d" % i for i in bpe.names}
+
+        def digests(text: bytes | None) -> tuple[int, str, str]:
+            machine, total, ids_sha, text_sha = TokenText(bpe), 0, hashlib.sha256(), hashlib.sha256()
+            pieces = cache.pieces(text or b"")
+            for k in range(0, len(pieces), RUN_PIECES):
+                ids = list(chain.from_iterable(cache.fetch(pieces[k : k + RUN_PIECES])))
+                if total and ids:
+                    ids_sha.update(b" ")
+                total += len(ids)
+                ids_sha.update(b" ".join([digits[i] for i in ids]))
+                text_sha.update(machine.feed(*ids).encode())
+            text_sha.update(machine.close().encode())
+            return total, ids_sha.hexdigest(), text_sha.hexdigest()
 
         def step(texts):
-            counts, ids, said = [], [], []
-            for t in texts:
-                n, x, y = zip(*got, strict=True) if (got := cache.fetch(cache.pieces(t or b""))) else ((), (), ())
-                if 0 in n:  # pieces of Unicode white space only
-                    x, y = [z for z in x if z], [z for z in y if z]
-                counts.append(sum(n))
-                ids.append(hashlib.sha256(b" ".join(x)).hexdigest())
-                said.append(hashlib.sha256(b" ".join(y)).hexdigest())
-            return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(said, pa.string())]
+            rows = [digests(t) for t in texts]
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
         return step
 
@@ -398,7 +393,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out: str = "t
             said = []
             for x in ids:
                 machine = TokenText(bpe)
-                said.append("".join(map(machine.feed, x)) + machine.close())
+                said.append(machine.feed(*x) + machine.close())
             return [pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())]
 
         return step

@@ -32,7 +32,7 @@ def test_bpe_equals_the_library(library):
         want = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == want, t
         machine = bpe.TokenText(own)
-        assert "".join(map(machine.feed, want)) == library.decode(want, skip_special_tokens=False)
+        assert machine.feed(*want[:3]) + "".join(map(machine.feed, want[3:])) == library.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_random_words_and_streaming(library):
@@ -42,13 +42,67 @@ def test_bpe_random_words_and_streaming(library):
     for _ in range(300):
         w = "".join(r.choice("aabehtinorssé'.1") for _ in range(r.randint(1, 400)))
         assert own.encode(w) == library.encode(w, add_special_tokens=False).ids
-    # a long word leaves the transducer before it ends: memory does not grow with it
-    seen = []
-    for k, t in enumerate(own.stream("abcdefgh"[i % 8] for i in range(20_000))):
-        seen.append(t)
-        if k == 50:
-            break
-    assert len(seen) == 51
+    vocabulary = [t.removesuffix("</w>") for t in own.ids]
+    plain = [t for t in vocabulary if t.isascii() and t.isalpha() and t.islower()]
+    long = "".join(r.choice(plain) for _ in range(20_000))
+    assert own.word(long) == library.encode(long, add_special_tokens=False).ids
+    # however a word is cut, and with nothing but the lookahead held back
+    for size in (1, 7, 300):
+        c = long[:3000] + bpe.MARK
+        out = [i for ids in own.transduce(c[k : k + size] for k in range(0, len(c), size)) for i in ids]
+        assert out == own.word(long[:3000])
+    fed = 0
+
+    def symbols():
+        nonlocal fed
+        for c in long:
+            fed += 1
+            yield c
+
+    out = own.transduce(symbols())
+    ends = 0
+    for _ in range(200):
+        ends += sum(len(own.names[i].removesuffix("</w>")) for i in next(out))
+        assert fed - ends <= own.lookahead + own.longest
+
+
+def test_bpe_refuses_improper_merges():
+    with pytest.raises(ValueError):
+        bpe.Bpe._check_proper([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")])
+    with pytest.raises(ValueError):
+        bpe.Bpe._check_proper([("ab", "c"), ("a", "b")])
+
+
+def test_caches_stay_small_on_unspaced_text(library):
+    import random
+    import tracemalloc
+
+    r = random.Random(8)
+    paragraph = lambda: "".join(chr(r.randint(0x4E00, 0x9F00)) for _ in range(120))
+    own, cache, counter = bpe.loaded(WORD), bpe._cached(WORD), counts.Counter(counts.vocabulary(PIECE))
+    tracemalloc.start()
+    for k in range(2000):
+        t = paragraph()
+        (ids,) = cache.fetch([t.encode()])
+        n = counter.count(t)
+        if k < 20:
+            assert list(ids) == library.encode(t, add_special_tokens=False).ids and n == counter.pieces("▁" + t)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60e6 and not any(len(k) > 64 for k in [*cache.known.new, *counter.known.new])
+    assert own.fit_limit and len(own._fit_ids) <= own.fit_limit + 1
+
+
+def test_counts_in_a_ring():
+    import tracemalloc
+
+    counter = counts.Counter(counts.vocabulary(PIECE))
+    text = "theandof日\U0001F9FF" * 60_000
+    tracemalloc.start()
+    n = counter.count(text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 20e6 and n == counter.pieces("▁" + text)
 
 
 def test_bpe_byte_decoder():
