@@ -160,12 +160,16 @@ def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 32, rounds: int = 150, pair_
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_rows: int, learn_from=None) -> DataFrame:
-    """At most ``max_rows`` labelled texts (``text, label``), those with the least hash of the id; the bound caps the broadcast."""
+    """At most ``max_rows`` labelled ids' texts (``text, label``), those with the least hash of the id; the bound caps the broadcast.
+
+    Of rows that repeat an id, the least text counts.
+    """
     of = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).where("label is not null and __id is not null")
     if learn_from is not None:
         of = of.where(learn_from(F.col("__id")))
     few = of.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    return docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select(F.col(text_col).alias("text"), "label")
+    found = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select("__id", F.col(text_col).alias("text"), "label")
+    return found.groupBy("__id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def held_out(id_column):

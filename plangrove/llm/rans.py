@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise, slices, tidied
+from .common import ByteCache, byte_texts, materialise, slices, tidied
 
 MAGIC = b"PGR1"
 LANES = 2048
@@ -211,24 +211,17 @@ def _library(path: str) -> PieceIds:
 
 
 class PieceIds:
-    """Ids of white-space-free pieces as bytes, remembered in two bounded generations."""
+    """Ids of white-space-free pieces as bytes, remembered within a number of bytes."""
 
-    def __init__(self, encode, limit: int = 250_000):
-        self.encode, self.limit, self.new, self.old = encode, limit, {}, {}
+    def __init__(self, encode):
+        self.encode, self.known = encode, ByteCache()
 
     def of(self, distinct: list[bytes]) -> list[bytes]:
-        if len(self.new) + len(distinct) > self.limit:
-            self.old, self.new = self.new, {}
-        codes = list(map(self.new.get, distinct))
-        missing = [k for k, c in enumerate(codes) if c is None]
-        old, ask = self.old.get, []
-        for k in missing:
-            codes[k] = old(distinct[k])
-            if codes[k] is None:
-                ask.append(k)
+        codes = list(map(self.known.get, distinct))
+        ask = [k for k, c in enumerate(codes) if c is None]
         for k, c in zip(ask, self.encode([distinct[k] for k in ask]), strict=True):
             codes[k] = c
-        self.new.update((distinct[k], codes[k]) for k in missing)
+            self.known.put(distinct[k], c, len(c))
         return codes
 
 
