@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -207,8 +208,36 @@ def test_decontam_against_brute_force(spark):
         assert sum(s["to"] - s["from"] for s in g.spans) == g.n_hit
     assert decontam.decontaminate(frame(spark), bench.where("false")).where("decontam.n_hit > 0").count() == 0
     assert decontam.decontaminate(empty(spark), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontam.build(bench, max_words=1)
+    # a benchmark in many slices gives the same
+    sliced = {r.doc_id: r.d for r in decontam.decontaminate(docs, bench, out="d", max_words=30).collect()}
+    assert len(list(decontam.build(bench, max_words=30))) > 3 and sliced == got
+    assert len(list(decontam.build(bench.where("false")))) == 1
+    # what is cut: the words of long spans, all of a text that is mostly hit
+    cleaned = decontam.remove_spans(decontam.decontaminate(docs, bench, out="d"), "d", least_words=3, most_cover=0.8, out="c").collect()
+    for r in cleaned:
+        d, left = r.d, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.c or "").lower())
+        if r.text is None or d.n_hit > 0.8 * max(d.n_words, 1):
+            assert r.c is None
+        else:
+            gone = [(s["from"], s["to"]) for s in d.spans if s["to"] - s["from"] >= 3]
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.lower())
+            assert left == [w for k, w in enumerate(words) if not any(a <= k < b for a, b in gone)]
+
+
+def test_decontam_memory():
+    import random
+    import tracemalloc
+
+    r = random.Random(2)
+    machine = decontam.SuffixAutomaton()
+    tracemalloc.start()
+    for k in range(500):
+        machine.add(str(k), " ".join(f"w{r.randint(0, 5000)}" for _ in range(100)).encode())
+    machine.finish()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # 50,000 words: a million would stay below 700 MB on the driver
+    assert peak < 35e6, peak
 
 
 def labelled(spark, n=400):
@@ -251,6 +280,30 @@ def test_toxicity(spark):
     assert toxicity.grade(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("toxicity.toxic").count() == 0
 
 
+def test_toxicity_gradient_and_grades():
+    r = np.random.default_rng(4)
+    n, k, grades = 60, 5, 4
+    cells = (r.integers(0, n, 200), r.integers(0, k, 200), r.random(200))
+    grade = r.integers(0, grades, n)
+    par = r.normal(0, 0.5, k + grades - 1)
+    _, grad = toxicity.gradient(par, cells, grade, grades, 0.01)
+    for j in range(len(par)):
+        step = np.zeros(len(par))
+        step[j] = 1e-6
+        slope = (toxicity.gradient(par + step, cells, grade, grades, 0.01)[0] - toxicity.gradient(par - step, cells, grade, grades, 0.01)[0]) / 2e-6
+        assert abs(slope - grad[j]) < 1e-5
+    # the expected grade against a plain sum, and grades that rise with how toxic a text reads
+    words = [b"mild", b"bad", b"foul"]
+    texts = [b" ".join([b"plain"] * 9 + [words[i % 3]] * (1 + i % 3) + [b"x%d" % i]) if i % 2 else b"plain words %d" % i for i in range(240)]
+    toxic = np.array([i % 2 for i in range(240)])
+    model = toxicity.fit(texts, toxic)
+    for t in (b"", None, b"foul foul plain", b"mild"):
+        seen = toxicity._count(t, model.weights)
+        z = sum(model.weights[f] * np.log2(1 + c) for f, c in seen.items())
+        assert np.allclose(model.above(t), [1 / (1 + np.exp(-(z - x))) for x in model.theta])
+    assert model.above(b"plain words").sum() < 0.5 < model.above(b"plain foul foul foul").sum()
+
+
 def test_pseudo_likelihood(spark):
     import random
 
