@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Reasons in order of priority, each with its disposition.
@@ -13,10 +13,10 @@ DISPOSITION_PRIORITY = [
     ("empty_layout", "excl"),
     ("untyped_rooms", "fix"),
     ("R4_no_entrance", "fix"),
-    ("R1_isolated_node", "fix"),
-    ("R3_unreachable", "fix"),
+    ("R1_isolated_component", "fix"),
+    ("R3_unreachable_from_entrance", "fix"),
     ("R2_doorless_room", "fix"),
-    ("R5_disconnected", "fix"),
+    ("R5_unresolved_doors", "fix"),
 ]
 
 
@@ -54,11 +54,14 @@ def label_category(labels: Column) -> Column:
     return F.when(has("SPA") & has("STR"), "dual").when(has("SPA"), "spa_only").when(has("STR"), "str_only").when(has("OBJ") | has("OCR"), "objocr").otherwise("other")
 
 
-def with_representatives(df: DataFrame, key: str, order: list, rank: str = "copy_no", size: str | None = None) -> DataFrame:
-    """Numbers the copies of each key; 1 is the representative."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = df.withColumn(rank, F.row_number().over(w))
-    return out.withColumn(size, F.count("*").over(Window.partitionBy(key))) if size else out
+def with_representatives(df: DataFrame, key: str, order: list, out: str = "first") -> DataFrame:
+    """Adds ``out``: whether a row is the least of its key in an order that tells all rows apart.
+
+    The least row is aggregated and joined back: partial sums and the skew join take a key of any size, no window holds it. A null key is a key.
+    """
+    least = df.groupBy(key).agg(F.min(F.struct(*order)).alias("__least"))
+    back = df.join(least.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
+    return back.withColumn(out, F.struct(*order).eqNullSafe(F.col("__least"))).drop("__key", "__least")
 
 
 def resolve_prefix(df: DataFrame, column: str, registry: list[tuple[str, str]], out: str) -> DataFrame:

@@ -1,58 +1,60 @@
 """Queries of the rule engine.
 
-Habitable: STANDARD and MEDIUM; bedroom: MEDIUM; refuge: SMALL; wet: ECONOMY; hub: STANDARD.  Areas of plans whose number is divisible by 3 have
-no scale; all others 0.6 m a unit.  A window is as long as the price's remainder by 5, in metres.
+Roles: STANDARD and MEDIUM are habitable, MEDIUM the bedroom, ECONOMY the bathroom, PROMO the balcony, LARGE the outdoor unit, SMALL the refuge and the dressing room, STANDARD the hub
+of a suite.  Areas of plans whose number is divisible by 3 have no scale; all others 0.6 m a unit.  A window is as long as the price's remainder by 5, in metres.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, rules
+from ..operators import classify, graph, rules
 from ..registry import query
-from ..tables import EDGES, NODES, edges, nodes
+from ..tables import EDGES, NODES, UNRESOLVED, edges, nodes, unresolved
 from .graphs import REACH
 
-INTEGRITY = f"""{NODES}, {EDGES}, {REACH}, comp AS (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2), sizes AS (SELECT g, c, count(*) AS k FROM comp GROUP BY 1, 2),
+INTEGRITY = f"""{NODES}, {EDGES}, {UNRESOLVED}, {REACH}, comp AS (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2), sizes AS (SELECT g, c, count(*) AS k FROM comp GROUP BY 1, 2),
 main AS (SELECT g, c, row_number() OVER (PARTITION BY g ORDER BY k DESC, c) AS rn FROM sizes), ent AS (SELECT g, bool_or(is_entrance) AS e FROM nodes GROUP BY 1),
 ok AS (SELECT DISTINCT reach.g, reach.n FROM reach JOIN nodes e ON e.g = reach.g AND e.n = reach.r AND e.is_entrance),
 integrity AS (
-  SELECT g, CAST(n AS INTEGER) AS n, 'R1_isolated' AS rule FROM nodes WHERE NOT EXISTS (SELECT 1 FROM bi WHERE bi.g = nodes.g AND bi.v = nodes.n)
-  UNION ALL SELECT g, CAST(n AS INTEGER), 'R2_doorless' FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.g = nodes.g AND e.via = 'door' AND (e.a = nodes.n OR e.b = nodes.n))
-  UNION ALL SELECT nodes.g, CAST(nodes.n AS INTEGER), 'R3_unreachable' FROM nodes JOIN ent ON ent.g = nodes.g AND ent.e WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.g = nodes.g AND ok.n = nodes.n)
+  SELECT g, CAST(c AS INTEGER) AS n, 'R1_isolated_component' AS rule FROM main WHERE rn > 1
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'R2_doorless_room' FROM nodes WHERE NOT EXISTS (SELECT 1 FROM bi WHERE bi.g = nodes.g AND bi.v = nodes.n)
+  UNION ALL SELECT nodes.g, CAST(nodes.n AS INTEGER), 'R3_unreachable_from_entrance' FROM nodes JOIN ent ON ent.g = nodes.g AND ent.e WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.g = nodes.g AND ok.n = nodes.n)
   UNION ALL SELECT g, NULL, 'R4_no_entrance' FROM ent WHERE NOT e
-  UNION ALL SELECT g, CAST(c AS INTEGER), 'R5_disconnected' FROM main WHERE rn > 1)"""
+  UNION ALL SELECT g, NULL, 'R5_unresolved_doors' FROM unresolved WHERE n_unresolved > 0)"""
 
-LEGAL = """measured AS (SELECT *, CASE WHEN g % 3 <> 0 THEN area * 0.6 * 0.6 END AS m2, role IN ('STANDARD', 'MEDIUM') AS hab, (CAST(floor(price) AS BIGINT) % 5) * 1.2 AS light FROM nodes),
+MEASURED = """measured AS (SELECT *, CASE WHEN g % 3 <> 0 THEN area * 0.6 * 0.6 END AS m2, role IN ('STANDARD', 'MEDIUM') AS hab, (CAST(floor(price) AS BIGINT) % 5) * 1.2 AS light FROM nodes)"""
+LEGAL = f"""{MEASURED},
 legal AS (
-  SELECT g, CAST(n AS INTEGER) AS n, 'L1_daylight' AS rule FROM measured WHERE hab AND (NOT has_window OR (m2 IS NOT NULL AND light < 0.10 * m2))
-  UNION ALL SELECT g, CAST(n AS INTEGER), 'L2_ventilation' FROM measured WHERE hab AND NOT has_window
-  UNION ALL SELECT g, CAST(n AS INTEGER), 'L4_bedroom_area' FROM measured WHERE role = 'MEDIUM' AND m2 < 7.0
-  UNION ALL SELECT g, NULL, 'L5_dwelling_area' FROM measured GROUP BY g HAVING sum(m2) > 0 AND sum(m2) < 14.0
+  SELECT g, CAST(n AS INTEGER) AS n, 'L1_daylight_window' AS rule FROM measured WHERE hab AND NOT has_window
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L1_daylight_ratio' FROM measured WHERE hab AND has_window AND light > 0 AND m2 > 0 AND light / m2 < 0.10
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L2_ventilation_window' FROM measured WHERE hab AND NOT has_window
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'L4_bedroom_min_area' FROM measured WHERE role = 'MEDIUM' AND m2 < 7.0
+  UNION ALL SELECT g, NULL, 'L5_dwelling_min_area' FROM measured WHERE role NOT IN ('PROMO', 'LARGE') GROUP BY g HAVING sum(m2) > 0 AND sum(m2) < 14.0
   UNION ALL SELECT g, CAST(n AS INTEGER), 'L6_refuge_area' FROM measured WHERE role = 'SMALL' AND m2 < 2.0)"""
 
-EGRESS = """egress AS (SELECT reach_c.g, CAST(reach_c.n AS INTEGER) AS n, 'L3_egress' AS rule FROM (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2) reach_c
+EGRESS = """egress AS (SELECT reach_c.g, CAST(reach_c.n AS INTEGER) AS n, 'L3_egress_reachable' AS rule FROM (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2) reach_c
   WHERE EXISTS (SELECT 1 FROM nodes e WHERE e.g = reach_c.g AND e.is_entrance) AND NOT EXISTS (SELECT 1 FROM reach r2 JOIN nodes e ON e.g = r2.g AND e.n = r2.r AND e.is_entrance WHERE r2.g = reach_c.g AND r2.n = reach_c.n)
-  UNION ALL SELECT g, NULL, 'L3_egress' FROM nodes GROUP BY g HAVING NOT bool_or(is_entrance))"""
+  UNION ALL SELECT g, NULL, 'L3_egress_reachable' FROM nodes GROUP BY g HAVING NOT bool_or(is_entrance))"""
 
-ARCH = """near AS (SELECT g, a AS n, role_b AS r FROM edges UNION ALL SELECT g, b, role_a FROM edges), around AS (SELECT g, n, list_sort(list_distinct(list(r))) AS s FROM near GROUP BY 1, 2),
-arch AS (SELECT nodes.g, CAST(nodes.n AS INTEGER) AS n, 'A2_private' AS rule FROM nodes JOIN around ON around.g = nodes.g AND around.n = nodes.n WHERE role = 'MEDIUM' AND NOT list_contains(s, 'STANDARD') AND NOT list_contains(s, 'ECONOMY')
-  UNION ALL SELECT nodes.g, CAST(nodes.n AS INTEGER), 'A4_wet_chain' FROM nodes JOIN around ON around.g = nodes.g AND around.n = nodes.n WHERE role = 'ECONOMY' AND s = ['ECONOMY'])"""
+ARCH = """near AS (SELECT g, a AS n, role_b AS r FROM edges UNION ALL SELECT g, b, role_a FROM edges),
+arch AS (SELECT g, CAST(n AS INTEGER) AS n, 'A4_hvac_on_balcony' AS rule FROM nodes WHERE role = 'LARGE' AND NOT EXISTS (SELECT 1 FROM near WHERE near.g = nodes.g AND near.n = nodes.n AND r = 'PROMO')
+  UNION ALL SELECT g, CAST(n AS INTEGER), 'A2_master_suite_hub' FROM nodes WHERE role = 'SMALL' AND EXISTS (SELECT 1 FROM near WHERE near.g = nodes.g AND near.n = nodes.n AND r = 'MEDIUM')
+    AND EXISTS (SELECT 1 FROM near WHERE near.g = nodes.g AND near.n = nodes.n AND r = 'ECONOMY') AND NOT EXISTS (SELECT 1 FROM near WHERE near.g = nodes.g AND near.n = nodes.n AND r = 'STANDARD'))"""
+
+#: The parts that roles play in the architecture rules.
+ARCH_ROLES = {"unit": "LARGE", "balcony": "PROMO", "dressing": "SMALL", "bedrooms": ["MEDIUM"], "bath": "ECONOMY", "hub": "STANDARD"}
 
 
 def _parts(spark, sf_dir):
     rooms = graph.checkpointed(nodes(spark, sf_dir))
-    links = graph.checkpointed(edges(rooms))
-    return rooms, links
+    return rooms, edges(rooms)
 
 
 def _integrity(spark, sf_dir):
     rooms, links = _parts(spark, sf_dir)
-    component = graph.components(rooms, links)
-    # a room is reached exactly if its component holds an entrance: no hop search is needed
-    entered = component.join(rooms.where("is_entrance").select("g", "n"), ["g", "n"], "left_semi").select("g", "component", F.lit(0).alias("hops")).distinct()
-    hops = component.join(entered, ["g", "component"], "left")
-    return rooms, links, component, rules.integrity(rooms, links, component, hops)
+    found = graph.solved(rooms, links, F.col("is_entrance"))
+    return rooms, links, found, rules.integrity(found, unresolved(rooms))
 
 
 def _legal(rooms):
@@ -63,6 +65,7 @@ def _legal(rooms):
         F.col("role") == "MEDIUM",
         F.col("role") == "SMALL",
         (F.floor("price") % 5).cast("double"),
+        F.col("role").isin("PROMO", "LARGE"),
     )
 
 
@@ -72,6 +75,19 @@ def integrity_rules(spark, sf_dir):
     return _integrity(spark, sf_dir)[3]
 
 
+@query(f"""WITH RECURSIVE {INTEGRITY}, v AS (SELECT nodes.g, coalesce(list(DISTINCT rule) FILTER (WHERE rule IS NOT NULL), []) AS r FROM (SELECT DISTINCT g FROM nodes) nodes LEFT JOIN integrity i ON i.g = nodes.g GROUP BY 1),
+d AS (SELECT CASE WHEN len(r) = 0 THEN 'use' ELSE 'fix' END AS disposition, CASE WHEN len(r) = 0 THEN 'accepted' WHEN list_contains(r, 'R4_no_entrance') THEN 'R4_no_entrance' WHEN list_contains(r, 'R1_isolated_component') THEN 'R1_isolated_component'
+  WHEN list_contains(r, 'R3_unreachable_from_entrance') THEN 'R3_unreachable_from_entrance' WHEN list_contains(r, 'R2_doorless_room') THEN 'R2_doorless_room' ELSE 'R5_unresolved_doors' END AS reason FROM v)
+SELECT disposition, reason, count(*) AS n FROM d GROUP BY 1, 2""")
+def plan_dispositions(spark, sf_dir):
+    """Plans by the one disposition that their violated rules give."""
+    rooms, _, _, found = _integrity(spark, sf_dir)
+    v = rules.verdicts(found, rooms)
+    status = F.when(F.col("passed"), "success").otherwise("quarantine")
+    group, label = classify.disposition_of(status, F.array_join("rules", ","))
+    return v.select(group.alias("disposition"), label.alias("reason")).groupBy("disposition", "reason").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {NODES}, {LEGAL} SELECT * FROM legal")
 def legal_rules(spark, sf_dir):
     """Area, daylight and ventilation rules; a plan without scale skips area rules."""
@@ -82,13 +98,13 @@ def legal_rules(spark, sf_dir):
 def egress_rule(spark, sf_dir):
     """Rooms without a way out."""
     rooms, links = _parts(spark, sf_dir)
-    return rules.egress(rooms, graph.components(rooms, links))
+    return rules.egress(graph.solved(rooms, links, F.col("is_entrance")))
 
 
 @query(f"WITH {NODES}, {EDGES}, {ARCH} SELECT * FROM arch")
 def arch_rules(spark, sf_dir):
     """Rules on the roles around a room."""
-    return rules.architecture(*_parts(spark, sf_dir), wet="ECONOMY", private="MEDIUM", hub="STANDARD")
+    return rules.architecture(*_parts(spark, sf_dir), **ARCH_ROLES)
 
 
 @query(f"""WITH RECURSIVE {INTEGRITY}, {LEGAL}, {ARCH}, v AS (SELECT * FROM integrity UNION ALL SELECT * FROM legal UNION ALL SELECT * FROM arch), p AS (SELECT count(DISTINCT g) AS plans FROM nodes)
@@ -96,7 +112,7 @@ SELECT rule, count(*) AS n_rows, count(DISTINCT g) AS n_plans, ((SELECT plans FR
 def violation_summary(spark, sf_dir):
     """All rule kinds together: rows and plans per rule, and the share that passes."""
     rooms, links, _, found = _integrity(spark, sf_dir)
-    every = rules.union(found, _legal(rooms), rules.architecture(rooms, links, wet="ECONOMY", private="MEDIUM", hub="STANDARD"))
+    every = rules.union(found, _legal(rooms), rules.architecture(rooms, links, **ARCH_ROLES))
     return rules.summary(every, rooms)
 
 
@@ -109,12 +125,27 @@ def plan_verdicts(spark, sf_dir):
 
 
 @query(f"""WITH {NODES}, {LEGAL}, b AS (SELECT rule, count(DISTINCT g) AS n FROM legal GROUP BY 1),
-fixed AS (SELECT g, n, pk, role, area, price, is_entrance, true AS has_window FROM nodes), m2 AS (SELECT *, CASE WHEN g % 3 <> 0 THEN area * 0.6 * 0.6 END AS m2, (CAST(floor(price) AS BIGINT) % 5) * 1.2 AS light FROM fixed),
-a AS (SELECT 'L1_daylight' AS rule, count(DISTINCT g) AS n FROM m2 WHERE role IN ('STANDARD', 'MEDIUM') AND m2 IS NOT NULL AND light < 0.10 * m2)
-SELECT b.rule, b.n AS before_repair, coalesce(CASE WHEN b.rule = 'L2_ventilation' THEN 0 WHEN b.rule = 'L1_daylight' THEN a.n ELSE b.n END, 0) AS after_repair FROM b CROSS JOIN a""")
+lit AS (SELECT *, has_window OR hab AS w FROM measured), a AS (SELECT 'L1_daylight_ratio' AS rule, count(DISTINCT g) AS n FROM lit WHERE hab AND w AND light > 0 AND m2 > 0 AND light / m2 < 0.10)
+SELECT b.rule, b.n AS before_repair, CAST(CASE WHEN b.rule IN ('L1_daylight_window', 'L2_ventilation_window') THEN 0 WHEN b.rule = 'L1_daylight_ratio' THEN a.n ELSE b.n END AS BIGINT) AS after_repair FROM b CROSS JOIN a""")
 def rule_compliance(spark, sf_dir):
-    """Plans that violate each rule before and after every room has been given a window."""
+    """Plans that violate each rule before and after every habitable room has been given a window."""
     rooms = graph.checkpointed(nodes(spark, sf_dir))
     count = lambda v, name: v.groupBy("rule").agg(F.countDistinct("g").alias(name))
-    before, after = count(_legal(rooms), "before_repair"), count(_legal(rooms.withColumn("has_window", F.lit(True))), "after_repair")
+    lit = F.col("has_window") | F.col("role").isin("STANDARD", "MEDIUM")
+    before, after = count(_legal(rooms), "before_repair"), count(_legal(rooms.withColumn("has_window", lit)), "after_repair")
     return before.join(after, "rule", "left").withColumn("after_repair", F.coalesce("after_repair", F.lit(0)))
+
+
+@query(f"""WITH {NODES}, {EDGES}, {ARCH}, e AS (SELECT DISTINCT g, least(a, b) AS a, greatest(a, b) AS b, via, role_a, role_b FROM edges),
+m AS (SELECT g, a, b, CASE WHEN (role_a = 'PROMO' AND role_b IN ('STANDARD', 'MEDIUM')) OR (role_b = 'PROMO' AND role_a IN ('STANDARD', 'MEDIUM')) THEN 'open' ELSE via END AS via FROM e),
+two AS (SELECT g, a AS n, b AS m, role_b AS r FROM e UNION ALL SELECT g, b, a, role_a FROM e), bal AS (SELECT g, min(n) AS t FROM nodes WHERE role = 'PROMO' GROUP BY 1),
+added AS (SELECT arch.g, least(n, t) AS a, greatest(n, t) AS b, 'balcony' AS via FROM arch JOIN bal ON bal.g = arch.g WHERE rule = 'A4_hvac_on_balcony'),
+suite AS (SELECT s.g, s.n, min(CASE WHEN r = 'MEDIUM' THEN m END) AS bed, min(CASE WHEN r = 'ECONOMY' THEN m END) AS wet FROM arch s JOIN two ON two.g = s.g AND two.n = s.n WHERE rule = 'A2_master_suite_hub' GROUP BY 1, 2),
+cut AS (SELECT g, least(n, wet) AS a, greatest(n, wet) AS b FROM suite UNION SELECT g, least(bed, n), greatest(bed, n) FROM suite UNION SELECT g, least(bed, wet), greatest(bed, wet) FROM suite),
+k AS (SELECT * FROM m UNION ALL SELECT * FROM added), kept AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.g = k.g AND cut.a = k.a AND cut.b = k.b)),
+f AS (SELECT via FROM kept UNION ALL SELECT 'open' FROM suite UNION ALL SELECT 'open' FROM suite UNION ALL SELECT 'door' FROM suite)
+SELECT via, count(*) AS n FROM f GROUP BY 1""")
+def arch_applied(spark, sf_dir):
+    """Edges by kind after the balcony policy, the added balcony links and the suite hubs."""
+    _, links = rules.apply_architecture(*_parts(spark, sf_dir), **ARCH_ROLES, living=["STANDARD", "MEDIUM"])
+    return links.groupBy("via").agg(F.count("*").alias("n"))

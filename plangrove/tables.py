@@ -5,7 +5,7 @@ The provided tables play these parts: an order is a plan, its line items are the
 text's digest the fingerprint; an event is a ledger row.
 
 Two neighbouring rooms of a plan (by room number) are joined unless their part keys sum to a multiple of 4; the remainder
-says how: 1 door, 2 open passage, 3 balcony.  A room with return flag R is an entrance, one with line status O has a window.
+says how: 1 door, 2 open passage, 3 balcony; remainder 0 is a door whose rooms were not found.  A room with return flag R is an entrance, one with line status O has a window.
 """
 
 from __future__ import annotations
@@ -58,6 +58,16 @@ EDGES = """edges AS (
 )"""
 
 
+def unresolved(rooms: DataFrame) -> DataFrame:
+    """``g, n_unresolved``: neighbouring rooms that no door could be resolved between (remainder 0)."""
+    w = Window.partitionBy("g").orderBy("n")
+    step = rooms.select("g", F.pmod(F.col("pk") + F.lead("pk").over(w), F.lit(4)).alias("k"))
+    return step.groupBy("g").agg(F.count_if(F.col("k") == 0).alias("n_unresolved"))
+
+
+UNRESOLVED = "unresolved AS (SELECT g, count(*) FILTER (WHERE k = 0) AS n_unresolved FROM (SELECT g, (pk + lead(pk) OVER (PARTITION BY g ORDER BY n)) % 4 AS k FROM nodes) GROUP BY 1)"
+
+
 def house_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), F.col("o_orderstatus").alias("house"))
 
