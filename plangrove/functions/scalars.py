@@ -30,6 +30,19 @@ def split_mod20(key: Column) -> Column:
     return F.when(m == 0, "test").when(m == 1, "val").otherwise("train")
 
 
+def tenth_bucket(key: Column) -> Column:
+    """val for the last tenth by md5, else train."""
+    x = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967295.0)
+    return F.when(x >= 0.9, "val").otherwise("train")
+
+
+def dataset_version(finetuned: Column, pretrained: Column, versions: dict[str, str], base: str = "v0") -> Column:
+    """A run's dataset version: that of its fine-tuning, or for the base set the one its pretraining stands for."""
+    from ..operators.roles import lookup
+
+    return F.when(finetuned != base, finetuned).otherwise(lookup(versions, pretrained, base))
+
+
 def sheet_key(unit_id: Column) -> Column:
     """A unit's sheet: the id without its last ``_u`` part."""
     return F.regexp_replace(unit_id, r"_u[^_]*$", "")
@@ -114,13 +127,8 @@ def pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
-def mod20_halves_note() -> int:
-    """2**64 mod 20, the weight of the upper half."""
-    return 2**64 % 20
-
-
 def number_near(text: Column, keyword: str, unit: str | None = None) -> Column:
     """The first number directly before or after a keyword (a unit may stand between); null if there is none."""
     unit = f"(?:\\s*{unit})?" if unit else ""
     before, after = F.regexp_extract(text, rf"(?i)(\d+){unit}\s*{keyword}", 1), F.regexp_extract(text, rf"(?i){keyword}\s*(\d+)", 1)
-    return F.coalesce(F.expr("try_cast(null as int)"), F.when(before != "", before.try_cast("int")), F.when(after != "", after.try_cast("int")))
+    return F.coalesce(F.when(before != "", before.try_cast("int")), F.when(after != "", after.try_cast("int")))

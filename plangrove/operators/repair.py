@@ -98,9 +98,8 @@ def repair_until_legal(nodes: DataFrame, edges: DataFrame, habitable: Column, tr
     """Checks, repairs windows and ways, checks again: at most ``tries`` rounds. Returns rooms, edges and rounds used."""
     used = 0
     while used < tries:
-        component = graph.components(nodes, edges)
-        ways = graph.checkpointed(units.egress_repair(nodes, component))
-        blind = graph.checkpointed(units.window_repair(nodes, habitable))
+        ways = graph.checkpointed(units.joined_parts(graph.solved(nodes, edges)))
+        blind = graph.checkpointed(nodes.where(habitable & ~F.col("has_window")).select("g", "n"))
         if ways.limit(1).count() == 0 and blind.limit(1).count() == 0:
             break
         used += 1

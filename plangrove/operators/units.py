@@ -25,10 +25,11 @@ def count_of(program: Column, role: str) -> Column:
 
 
 def acceptance(program: Column, n_rooms: Column, passed: Column, essential: list[str], least: int = MIN_ROOMS, most: int = MAX_ROOMS) -> Column:
-    """missing_essential, too_few, too_many, integrity_failed, else complete; the missing roles follow a colon."""
+    """missing_essential, too_few_rooms, too_many_rooms, integrity_failed, else complete; the missing roles or the number of rooms follow a colon."""
     missing = F.filter(F.array(*map(F.lit, essential)), lambda r: F.coalesce(F.try_element_at(program, r), F.lit(0)) == 0)
-    _, label = waterfall((F.size(missing) > 0, "q", "missing_essential"), (n_rooms < least, "q", "too_few"), (n_rooms > most, "q", "too_many"), (~passed, "q", "integrity_failed"), otherwise=("a", "complete"))
-    return F.when(label == "missing_essential", F.concat(label, F.lit(":"), F.array_join(missing, "+"))).otherwise(label)
+    _, label = waterfall((F.size(missing) > 0, "q", "missing_essential"), (n_rooms < least, "q", "too_few_rooms"), (n_rooms > most, "q", "too_many_rooms"), (~passed, "q", "integrity_failed"), otherwise=("a", "complete"))
+    payload = F.when(label == "missing_essential", F.array_join(missing, ",")).when(label.startswith("too_"), n_rooms.cast("string"))
+    return F.concat_ws(":", label, payload)
 
 
 def household(program: Column, n_entrances: Column, living: str) -> tuple[Column, Column]:
@@ -68,15 +69,87 @@ def constraints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return program.join(pairs, "g", "left").join(access, "g", "left").select("g", "program", fill("adjacency"), fill("exterior_access"))
 
 
-def egress_repair(nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """New edges that join each part of a plan to its first part: from the part's least room to the plan's."""
-    first = component.groupBy("g").agg(F.min("component").alias("main"))
-    return component.select("g", "component").distinct().join(first, "g").where("component <> main").select("g", F.col("main").alias("a"), F.col("component").alias("b"), F.lit("open").alias("via"))
+def outer_sides(rooms: DataFrame) -> DataFrame:
+    """``g, n, x0, y0, x1, y1``: sides of the boxes (rounded to 0.1) that no other room of the plan has too."""
+    r = lambda c: F.round(F.col(f"box.{c}"), 1)
+    x0, y0, x1, y1 = r("x0"), r("y0"), r("x1"), r("y1")
+    side = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+    sides = rooms.select("g", "n", F.explode(F.array(side(x0, y0, x1, y0), side(x1, y0, x1, y1), side(x0, y1, x1, y1), side(x0, y0, x0, y1))).alias("s")).select("g", "n", "s.*")
+    sides = sides.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
+    return sides.groupBy("g", "x0", "y0", "x1", "y1").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k = 1").select("g", "n", "x0", "y0", "x1", "y1")
 
 
-def window_repair(nodes: DataFrame, habitable: Column) -> DataFrame:
-    """Habitable rooms that get a window."""
-    return nodes.where(habitable & ~F.col("has_window")).select("g", "n")
+def window_repair(rooms: DataFrame, habitable: Column) -> DataFrame:
+    """Habitable rooms without a window (``g, n, box, has_window``): ``g, n, ok, x, y, width``.
+
+    The window goes to the middle of the longest outer side (of equal ones the first by its corners), 0.6 of it wide within 24 and 80; a room without an outer side cannot have one.
+    """
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
+    longest = outer_sides(rooms).groupBy("g", "n").agg(F.min(F.struct((-length).alias("l"), "x0", "y0", "x1", "y1")).alias("s"))
+    dark = rooms.where(habitable & ~F.col("has_window")).select("g", "n").join(longest, ["g", "n"], "left")
+    width = F.greatest(F.lit(24.0), F.least(F.lit(80.0), -F.col("s.l") * 0.6))
+    return dark.select("g", "n", F.col("s").isNotNull().alias("ok"), ((F.col("s.x0") + F.col("s.x1")) / 2).alias("x"), ((F.col("s.y0") + F.col("s.y1")) / 2).alias("y"), F.when(F.col("s").isNotNull(), F.round(width, 1)).alias("width"))
+
+
+def egress_repair(rooms: DataFrame, edges: DataFrame, tolerance: float, least: float) -> DataFrame:
+    """New doors ``g, a, b, ok`` that bring rooms without a way to an entrance to one, only between rooms that share a wall.
+
+    ``rooms`` hold ``g, n, is_entrance, box``. Rooms that cannot be reached are taken in order, each joined to the first reached room along a wall (sides within ``tolerance``, more than ``least``
+    in common); a new door may open the way to others. Rooms that stay cut off give rows that are not ``ok``, with their own number; a plan without an entrance gives one without any.
+    """
+    b = F.col("box")
+    mine = rooms.select(F.col("g").cast("long").alias("g"), F.col("n").cast("int").alias("n"), F.lit(None).cast("int").alias("m"), "is_entrance", *(b[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    none = F.lit(None).cast("double")
+    links = edges.select(F.col("g").cast("long").alias("g"), F.col("a").cast("int").alias("n"), F.col("b").cast("int").alias("m"), F.lit(False).alias("is_entrance"), *(none.alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+    def touch(p, q) -> bool:
+        across, along = min(p[3], q[3]) - max(p[1], q[1]), min(p[2], q[2]) - max(p[0], q[0])
+        upright = min(abs(p[2] - q[0]), abs(q[2] - p[0])) <= tolerance and across > least
+        return upright or (min(abs(p[3] - q[1]), abs(q[3] - p[1])) <= tolerance and along > least)
+
+    def run(group):
+        import pyarrow as pa
+
+        box, starts, near, out = {}, [], {}, []
+        for n, m, entrance, *corners in zip(*(group.column(c).to_pylist() for c in ("n", "m", "is_entrance", "x0", "y0", "x1", "y1")), strict=True):
+            if m is None:
+                box[n] = corners
+                starts += [n] if entrance else []
+            else:
+                near.setdefault(n, set()).add(m)
+                near.setdefault(m, set()).add(n)
+        reached: set[int] = set()
+
+        def spread(todo: list[int]) -> None:
+            while todo:
+                at = todo.pop()
+                if at in box and at not in reached:
+                    reached.add(at)
+                    todo += near.get(at, ())
+
+        spread(list(starts))
+        if starts:
+            while True:
+                door = next(((n, m) for n in sorted(box) if n not in reached for m in sorted(reached) if touch(box[n], box[m])), None)
+                if door is None:
+                    break
+                out.append((door[0], door[1], True))
+                spread([door[0]])
+            out += [(n, None, False) for n in sorted(box) if n not in reached]
+        elif box:
+            out.append((None, None, False))
+        a, c, ok = zip(*out, strict=True) if out else ((), (), ())
+        plan = group.column("g")[0].as_py()
+        return pa.table({"g": pa.array([plan] * len(out), pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(c, pa.int32()), "ok": pa.array(ok, pa.bool_())})
+
+    return mine.unionByName(links).groupBy("g").applyInArrow(run, "g long, a int, b int, ok boolean")
+
+
+def joined_parts(found: DataFrame) -> DataFrame:
+    """Open edges ``g, a, b, via`` that join each part of a plan to its largest, room by least room (``found``: :func:`graph.solved`): the repair of graphs without geometry."""
+    parts = found.where(F.col("n") == F.col("component"))
+    main = parts.where("main").select("g", F.col("n").alias("a"))
+    return parts.where("not main").select("g", F.col("n").alias("b")).join(main, "g").select("g", "a", "b", F.lit("open").alias("via"))
 
 
 def resolved_roles(mapping: dict[str, str], depth: int = 8) -> dict[str, str]:

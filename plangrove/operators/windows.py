@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key; all order columns descend."""
@@ -27,10 +29,14 @@ def islands(df: DataFrame, keys: list[str], value: str, tolerance: float) -> Dat
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
-    """A page of the sorted rows; an offset beyond the end shows the last page."""
+    """A page of the sorted rows; an offset beyond the end shows the last page.
+
+    Rows are picked by their position in a range-partitioned order, so a late page brings no more rows to one place than an early one.
+    """
     n = df.count()
     start = min(max(offset, 0), max(0, (n - 1) // limit * limit))
-    return df.orderBy(*order).offset(start).limit(limit)
+    at = positioned(df, order, "__at")
+    return at.where(F.col("__at").between(start, start + limit - 1)).orderBy("__at").drop("__at")
 
 
 def strided_sample(df: DataFrame, order: list, k: int) -> DataFrame:
@@ -49,6 +55,7 @@ def strided_sample(df: DataFrame, order: list, k: int) -> DataFrame:
 def positioned(df: DataFrame, order: list, out: str) -> DataFrame:
     """Adds each row's position from 0 in the whole order: a range partition, counts per partition, numbers inside it."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged)  # both uses below must see the same partitions
     ranged = ranged.withColumn("__part", F.shiftright("__mid", 33).cast("int")).withColumn("__in", F.expr("__mid & 8589934591"))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

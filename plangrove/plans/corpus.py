@@ -12,19 +12,19 @@ from ..tables import table
 
 
 def disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its label, copy number, disposition and reason."""
+    """Every document with its label, whether it is the first of its copies, disposition and reason."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     joined = docs.withColumn("fp", F.md5("text")).join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left")
     copies = classify.with_representatives(joined, "fp", ["doc_id"])
     group, label = classify.waterfall(
-        (F.col("copy_no") > 1, "excl", "duplicate"),
+        (~F.col("first"), "excl", "duplicate"),
         (F.col("n_chars") < 100, "excl", "junk"),
         (F.col("toxic") == 1, "excl", "toxic"),
         (F.col("quality") == 0, "fix", "low_quality"),
         (F.col("labelled").isNull(), "fix", "unlabelled"),
         otherwise=("use", "accepted"),
     )
-    return copies.select("doc_id", "lang", "source", "n_chars", "quality", "toxic", "labelled", "fp", "copy_no", group.alias("disposition"), label.alias("reason"))
+    return copies.select("doc_id", "lang", "source", "n_chars", "quality", "toxic", "labelled", "fp", "first", group.alias("disposition"), label.alias("reason"))
 
 
 DISPOSED = """disposed AS (
@@ -38,7 +38,7 @@ DISPOSED = """disposed AS (
 @query(f"WITH {DISPOSED} SELECT disposition, reason, count(*) AS n_rows, CAST(sum(CASE WHEN copy_no = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_units FROM disposed GROUP BY 1, 2")
 def disposition_accounting(spark, sf_dir):
     """Every input row in exactly one disposition; units are counted on representatives."""
-    return disposed(spark, sf_dir).groupBy("disposition", "reason").agg(F.count("*").alias("n_rows"), F.count_if(F.col("copy_no") == 1).alias("n_units"))
+    return disposed(spark, sf_dir).groupBy("disposition", "reason").agg(F.count("*").alias("n_rows"), F.count_if("first").alias("n_units"))
 
 
 @query("""WITH r AS (
@@ -65,7 +65,7 @@ def label_composition_matrix(spark, sf_dir):
     """Rows and units by label composition and disposition; copies add no units."""
     d = disposed(spark, sf_dir)
     kinds = F.filter(F.array(F.when(F.col("quality").isNotNull() & (F.col("toxic") == 1), F.lit("STR")), F.when(F.col("quality").isNotNull() & ((F.col("toxic") == 1) | (F.col("quality") == 1)), F.lit("SPA")), F.when(F.col("quality") == 0, F.lit("STR"))), lambda x: x.isNotNull())
-    units = F.when(F.col("copy_no") == 1, F.col("n_chars")).otherwise(F.lit(0))
+    units = F.when(F.col("first"), F.col("n_chars")).otherwise(F.lit(0))
     return d.withColumn("composition", classify.label_category(kinds)).groupBy("composition", "disposition").agg(F.count("*").alias("n_rows"), F.sum(units).alias("units"))
 
 
@@ -152,19 +152,20 @@ SELECT doc_id, CASE WHEN rn = 1 THEN 'kept' ELSE 'quarantine' END AS status, CAS
 def keep_one_duplicates(spark, sf_dir):
     """One of each group stays, a success before a failure; the others name it."""
     k = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("fp")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    w = Window.partitionBy("fp").orderBy(F.coalesce("quality", F.lit(1)) != 1, "doc_id")
-    r = k.withColumns({"rn": F.row_number().over(w), "kept": F.first("doc_id").over(w)})
-    return r.select("doc_id", F.when(F.col("rn") == 1, "kept").otherwise("quarantine").alias("status"), F.when(F.col("rn") > 1, F.col("kept")).alias("dup_of"))
+    least = k.groupBy("fp").agg(F.min(F.struct((F.coalesce("quality", F.lit(1)) != 1).alias("bad"), "doc_id"))["doc_id"].alias("kept"))
+    r = k.join(least.withColumnRenamed("fp", "key"), F.col("fp").eqNullSafe(F.col("key")))
+    own = F.col("doc_id") == F.col("kept")
+    return r.select("doc_id", F.when(own, "kept").otherwise("quarantine").alias("status"), F.when(~own, F.col("kept")).alias("dup_of"))
 
 
 @query("""WITH k AS (SELECT doc_id, md5(text) AS fp FROM documents), r AS (SELECT doc_id, fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY fp) AS n, min(doc_id) OVER (PARTITION BY fp) AS group_id FROM k)
 SELECT doc_id, CAST(i AS INTEGER) AS i, n, i = 1 AS kept, group_id FROM r WHERE n > 1""")
 def copy_ordinals(spark, sf_dir):
     """i of n inside each group of copies; a group is named by its least id, which no global order needs."""
-    k = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("fp"))
-    every = Window.partitionBy("fp")
-    r = k.withColumns({"i": F.row_number().over(every.orderBy("doc_id")), "n": F.count("*").over(every), "group_id": F.min("doc_id").over(every)})
-    return r.where("n > 1").select("doc_id", "i", "n", (F.col("i") == 1).alias("kept"), "group_id")
+    k = windows.positioned(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("fp")), ["fp", "doc_id"], "p")
+    group = k.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id"), F.min("p").alias("start")).where("n > 1")
+    r = k.join(group.withColumnRenamed("fp", "key"), F.col("fp").eqNullSafe(F.col("key"))).withColumn("i", (F.col("p") - F.col("start") + 1).cast("int"))
+    return r.select("doc_id", "i", "n", (F.col("i") == 1).alias("kept"), "group_id")
 
 
 @query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42:test:' || CAST(doc_id AS VARCHAR)), doc_id) AS pick, count(*) OVER (PARTITION BY lang) AS available FROM documents)

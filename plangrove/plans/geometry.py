@@ -16,7 +16,6 @@ from ..tables import NODES, nodes, table
 def boxes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     x0, y0 = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
-    ids = nodes(spark, sf_dir).select("g", "n", "pk")
     corner = li.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("int").alias("k"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + 4 + F.col("l_linenumber")).alias("y1"))
     return corner.groupBy("g", "pk", "sk", "k").agg(F.min(F.struct("x0", "y0", "x1", "y1")).alias("box"))
 
@@ -39,8 +38,8 @@ def polygon_area(spark, sf_dir):
     b = F.col("box")
     ring = G.box_ring(b["x0"], b["y0"], b["x1"], b["y1"])
     d = numbered(spark, sf_dir).select("g", "id", ring.alias("ring"))
-    c = G.vertex_mean(F.col("ring"))
-    return d.select("g", "id", G.area(F.col("ring")).alias("area"), G.perimeter(F.col("ring")).alias("around"), c["x"].alias("cx"), c["y"].alias("cy"), G.corner_count(F.col("ring")).alias("corners"))
+    m, n = d.withColumn("m", G.measures(F.col("ring"))), F.size("ring")
+    return m.select("g", "id", (F.abs("m.a2") / 2).alias("area"), F.col("m.len").alias("around"), (F.col("m.sx") / n).alias("cx"), (F.col("m.sy") / n).alias("cy"), G.corner_count(F.col("ring")).alias("corners"))
 
 
 @query(f"""WITH {BOXES}, pts AS (SELECT g, id AS pid, (x0 + x1) / 2 AS x, y1 - 1 AS y FROM ids)

@@ -169,7 +169,13 @@ def area_priors(spark, sf_dir):
     area = F.coalesce("area", F.lit(0.0))
     top = F.max(area).over(Window.partitionBy("g"))
     r = nodes(spark, sf_dir).select("role", (area / F.when(top > 0, top).otherwise(F.lit(1.0))).alias("share"))
-    return r.groupBy("role").agg(F.median("share").alias("prior"), F.count("*").alias("n"))
+    # values are counted first, so that no group's values are collected
+    counted = r.groupBy("role", "share").agg(F.count("*").alias("c"))
+    up = Window.partitionBy("role").orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy("role"))})
+    at = lambda pos: F.min(F.when(F.col("upto") > F.floor(pos), F.col("share")))
+    n = F.col("n")
+    return run.groupBy("role", "n").agg(((at((n - 1) / 2) + at(n / 2)) / 2).alias("prior")).select("role", "prior", "n")
 
 
 @query(f"""WITH {NODES}, {HOUSES}, s AS (SELECT g, count(*) AS rooms, max(CASE WHEN role = 'PROMO' THEN 1 ELSE 0 END) AS balcony FROM nodes GROUP BY 1)

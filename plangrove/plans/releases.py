@@ -66,13 +66,17 @@ def release_manifest(spark, sf_dir):
     )
 
 
-@query("""WITH b AS (SELECT source, doc_id % 64 AS part, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS h, count(*) AS n FROM documents GROUP BY 1, 2)
-SELECT source, CAST(sum(n) AS BIGINT) AS n, substr(sha256(string_agg(h, chr(10) ORDER BY part)), 1, 12) AS manifest FROM b GROUP BY 1""")
+@query("""WITH a AS (SELECT source, doc_id // 1000 AS p, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1, 2),
+b AS (SELECT source, p // 1000 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY source, p // 1000)
+SELECT source, CAST(sum(n) AS BIGINT) AS n, substr(sha256(string_agg(h, chr(10) ORDER BY p)), 1, 12) AS manifest FROM b GROUP BY 1""")
 def manifest_hash(spark, sf_dir):
-    """A digest of a source's ids in code-point order: a digest of 64 digests, so that no task holds all ids of a source."""
-    part = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 64).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda e: e["h"])
-    return part.groupBy("source").agg(F.sum("n").alias("n"), F.substring(F.sha2(F.array_join(ordered, "\n"), 256), 1, 12).alias("manifest"))
+    """A digest of a source's ids in order: a tree of digests over runs of 1,000, so that no task holds all ids of a source."""
+    digest = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda e: e["h"]), "\n"), 256)
+    up = lambda c: F.floor(F.col(c) / 1000).alias("p")
+    ids = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("p"), F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("h"))
+    a = ids.groupBy("source", "p").agg(digest(F.struct("k", "h")).alias("h"), F.count("*").alias("n"))
+    b = a.select("source", up("p"), F.col("p").alias("k"), "h", "n").groupBy("source", "p").agg(digest(F.struct("k", "h")).alias("h"), F.sum("n").alias("n"))
+    return b.groupBy("source").agg(F.sum("n").alias("n"), F.substring(digest(F.struct(F.col("p").alias("k"), "h")), 1, 12).alias("manifest"))
 
 
 @query(f"""WITH u AS (SELECT md5(text) AS fp, {split_sql(SHEET)} AS split FROM documents), g AS (SELECT fp, count(*) AS n, count(DISTINCT split) AS k, bool_or(split = 'train') AS in_train FROM u GROUP BY 1)
@@ -99,11 +103,10 @@ FORM = "string_agg(role || ':' || CAST(area AS BIGINT), ';' ORDER BY role, CAST(
 @query(f"WITH {NODES}, f AS (SELECT g, md5({FORM}) AS fp FROM nodes GROUP BY 1) SELECT g, fp, count(*) OVER (PARTITION BY fp) AS copies FROM f")
 def structural_fingerprint(spark, sf_dir):
     """A digest of a plan's sorted rooms, and how many plans share it."""
-    from pyspark.sql import Window
-
     text = F.transform(F.array_sort(F.collect_list(F.struct("role", F.col("area").cast("long").alias("a")))), lambda e: F.concat_ws(":", e["role"], e["a"].cast("string")))
     f = nodes(spark, sf_dir).groupBy("g").agg(F.md5(F.array_join(text, ";")).alias("fp"))
-    return f.withColumn("copies", F.count("*").over(Window.partitionBy("fp")))
+    n = f.groupBy("fp").agg(F.count("*").alias("copies"))
+    return f.join(n, "fp").select("g", "fp", "copies")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS g, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem), o AS (SELECT g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY 1),
@@ -120,8 +123,8 @@ def mirror_signature(spark, sf_dir):
         ox, oy = F.array_min(F.transform("c", lambda e: fx * e["x"])), F.array_min(F.transform("c", lambda e: fy * e["y"]))
         return F.array_sort(F.transform("c", lambda e: F.struct((fx * e["x"] - ox).alias("x"), (fy * e["y"] - oy).alias("y"))))
 
-    sig = F.array_min(F.array(*(F.to_json(F.transform(form(fx, fy), lambda e: F.array(e["x"] + 1000, e["y"] + 1000))) for fx in (1, -1) for fy in (1, -1))))
-    return whole.select("g", F.sha1(sig).alias("sig")).groupBy("sig").agg(F.min("g").alias("first_plan"), F.count("*").alias("n")).where("n > 1").drop("sig")
+    least = F.array_min(F.array(*(form(fx, fy) for fx in (1, -1) for fy in (1, -1))))
+    return whole.select("g", F.sha1(F.to_json(least)).alias("sig")).groupBy("sig").agg(F.min("g").alias("first_plan"), F.count("*").alias("n")).where("n > 1").drop("sig")
 
 
 @query("""WITH g AS (SELECT md5(text) AS fp, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT n FROM g ORDER BY n DESC, fp LIMIT 10)
@@ -162,26 +165,55 @@ def policy_closure(spark, sf_dir):
     return both.agg(F.count("*").alias("n_groups"), F.count_if(F.col("raw") == 1).alias("closed_raw"), F.count_if(F.col("policy") == 1).alias("closed_policy"))
 
 
-#: Bytes of benchmark below which every item is broadcast.
-BROADCAST_BYTES = 8_000_000
+#: Bytes of benchmark texts that one broadcast matcher holds.
+SLICE_BYTES = 4_000_000
+
+
+def _holds(texts):
+    """A column function: the md5 of each of some texts that a text holds, by one Aho-Corasick pass."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for text, key in texts.value:
+            finder.add_word(text, key)
+        finder.make_automaton()
+        for batch in batches:
+            yield pa.array([None if t is None else sorted({key for _, key in finder.iter(t)}) for t in batch.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "array<string>")
 
 
 @query("SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def benchmark_contamination(spark, sf_dir):
     """Documents that hold an item's text verbatim, by item.
 
-    Items are a bounded table, checked before it is broadcast; a larger one is matched through its items' first words.
+    The distinct texts go in slices of bounded size into matchers; each document is read once a slice, whatever the size of the benchmark. Every document holds the empty text,
+    none a null one.
     """
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size < BROADCAST_BYTES:
-        hit = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("t"))), F.contains("text", F.col("t")))
-    else:
-        cut = lambda c: F.substring(c, 1, 24)
-        # an item shorter than 24 characters is met by grams of its own length
-        sizes = [r[0] for r in items.select(F.least(F.length("text"), F.lit(24))).distinct().collect() if r[0] is not None]
-        of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (k - 1), F.lit(1))), lambda i: F.substring("text", i, k))
-        grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*map(of, sizes)))).alias("k")) if sizes else docs.select("doc_id", "text", F.lit(None).cast("string").alias("k"))
-        hit = grams.join(items.select("item_id", F.col("text").alias("t"), cut("text").alias("k")), "k").where(F.contains("text", F.col("t"))).select("item_id", "doc_id").distinct()
-    n = hit.groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("text").where("text is not null")
+    keyed = items.select("item_id", F.md5("text").alias("key"))
+    parts, held, size = [docs.agg(F.count("*").alias("n")).select(F.md5(F.lit("")).alias("key"), "n")], [], 0
+
+    def match() -> None:
+        found = docs.select(F.explode(_holds(spark.sparkContext.broadcast(list(held)))("text")).alias("key"))
+        parts.append(found.groupBy("key").agg(F.count("*").alias("n")))
+
+    for r in items.where("text <> ''").select("text", F.md5("text").alias("key")).distinct().toLocalIterator():
+        held.append((r["text"], r["key"]))
+        size += len(r["text"])
+        if size >= SLICE_BYTES:
+            match()
+            held, size = [], 0
+    if held:
+        match()
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    return keyed.join(hits, "key", "left").groupBy("item_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_docs"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import classify, graph, units
+from ..operators import classify, units
 from ..registry import query
 from ..tables import EDGES, NODES, edges, nodes, table
 from .geometry import BOXES, numbered
-from .graphs import REACH
 
 PLANS = "plans AS (SELECT g, count(*) AS n_rooms, count(*) FILTER (WHERE is_entrance) AS n_entrances, count(*) FILTER (WHERE role = 'STANDARD') AS living, count(*) FILTER (WHERE role = 'MEDIUM') AS bedroom, count(*) FILTER (WHERE role = 'PROMO') AS balcony, count(*) FILTER (WHERE role = 'LARGE') AS etc, count(*) FILTER (WHERE role = 'ECONOMY') AS wet, sum(area) AS total FROM nodes GROUP BY 1)"
 
@@ -19,8 +18,8 @@ def _plans(spark, sf_dir):
     return units.program_maps(rooms).join(rooms.groupBy("g").agg(F.sum("area").alias("total")), "g")
 
 
-@query(f"""WITH {NODES}, {PLANS} SELECT g, CASE WHEN living = 0 OR bedroom = 0 THEN 'missing_essential:' || concat_ws('+', CASE WHEN living = 0 THEN 'STANDARD' END, CASE WHEN bedroom = 0 THEN 'MEDIUM' END)
- WHEN n_rooms < 5 THEN 'too_few' WHEN n_rooms > 60 THEN 'too_many' WHEN n_entrances = 0 THEN 'integrity_failed' ELSE 'complete' END AS verdict FROM plans""")
+@query(f"""WITH {NODES}, {PLANS} SELECT g, CASE WHEN living = 0 OR bedroom = 0 THEN 'missing_essential:' || concat_ws(',', CASE WHEN living = 0 THEN 'STANDARD' END, CASE WHEN bedroom = 0 THEN 'MEDIUM' END)
+ WHEN n_rooms < 5 THEN 'too_few_rooms:' || n_rooms WHEN n_rooms > 60 THEN 'too_many_rooms:' || n_rooms WHEN n_entrances = 0 THEN 'integrity_failed' ELSE 'complete' END AS verdict FROM plans""")
 def unit_acceptance(spark, sf_dir):
     """Units by the first reason that keeps them out; a reason may carry a payload."""
     p = _plans(spark, sf_dir)
@@ -62,17 +61,35 @@ def constraint_derivation(spark, sf_dir):
     return units.constraints(rooms, edges(rooms))
 
 
-@query(f"WITH RECURSIVE {NODES}, {EDGES}, {REACH}, comp AS (SELECT g, n, min(r) AS c FROM reach GROUP BY 1, 2), m AS (SELECT g, min(c) AS main FROM comp GROUP BY 1) SELECT DISTINCT comp.g, CAST(main AS INTEGER) AS a, CAST(c AS INTEGER) AS b, 'open' AS via FROM comp JOIN m ON m.g = comp.g WHERE c <> main")
+#: Rooms as numbered boxes: the first one of plans not divisible by 4 is the entrance, every third has a window.
+ROOMS = BOXES + """, rooms AS (SELECT ids.g, CAST(ids.id AS INTEGER) AS n, p_type AS role, x0, y0, x1, y1, ids.id = 1 AND ids.g % 4 <> 0 AS is_entrance, ids.id % 3 = 0 AS has_window FROM ids LEFT JOIN part ON p_partkey = pk),
+ways AS (SELECT a.g, a.n AS a, b.n AS b FROM rooms a JOIN rooms b ON a.g = b.g AND b.n = a.n + 1 WHERE (a.n + a.g) % 3 = 0)"""
+
+
+def box_rooms(spark, sf_dir):
+    """The rooms of :data:`ROOMS`, and the edges of every third pair of neighbours."""
+    roles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_type").alias("role"))
+    n, first = F.col("id"), (F.col("id") == 1) & (F.col("g") % 4 != 0)
+    rooms = numbered(spark, sf_dir).join(roles, "pk", "left").select("g", n.cast("int").alias("n"), "role", "box", first.alias("is_entrance"), (n % 3 == 0).alias("has_window"))
+    most = rooms.groupBy("g").agg(F.max("n").alias("most"))
+    ways = rooms.join(most, "g").where((F.col("n") < F.col("most")) & ((F.col("n") + F.col("g")) % 3 == 0)).select("g", F.col("n").alias("a"), (F.col("n") + 1).alias("b"))
+    return rooms, ways
+
+
+@query()
 def egress_repair(spark, sf_dir):
-    """The edges that make every plan one piece."""
-    rooms = nodes(spark, sf_dir)
-    return units.egress_repair(rooms, graph.components(rooms, edges(rooms)))
+    """The doors that bring rooms to an entrance along shared walls, and the rooms that stay cut off."""
+    return units.egress_repair(*box_rooms(spark, sf_dir), 1.0, 2.0)
 
 
-@query(f"WITH {NODES} SELECT g, CAST(n AS INTEGER) AS n FROM nodes WHERE role IN ('STANDARD', 'MEDIUM') AND NOT has_window")
+@query(f"""WITH {ROOMS}, s AS (SELECT g, n, unnest([{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y0}}, {{'x0': x1, 'y0': y0, 'x1': x1, 'y1': y1}}, {{'x0': x0, 'y0': y1, 'x1': x1, 'y1': y1}}, {{'x0': x0, 'y0': y0, 'x1': x0, 'y1': y1}}]) AS s FROM rooms),
+o AS (SELECT g, s, min(n) AS n FROM s WHERE s.x0 <> s.x1 OR s.y0 <> s.y1 GROUP BY 1, 2 HAVING count(*) = 1), l AS (SELECT g, n, s, sqrt(pow(s.x1 - s.x0, 2) + pow(s.y1 - s.y0, 2)) AS len FROM o),
+b AS (SELECT *, row_number() OVER (PARTITION BY g, n ORDER BY len DESC, s.x0, s.y0, s.x1, s.y1) AS rn FROM l)
+SELECT r.g, r.n, b.g IS NOT NULL AS ok, (s.x0 + s.x1) / 2 AS x, (s.y0 + s.y1) / 2 AS y, round(greatest(24.0, least(80.0, len * 0.6)), 1) + CASE WHEN b.g IS NULL THEN NULL ELSE 0 END AS width
+FROM rooms r LEFT JOIN b ON b.g = r.g AND b.n = r.n AND rn = 1 WHERE r.role IN ('STANDARD', 'MEDIUM') AND NOT r.has_window""")
 def window_repair(spark, sf_dir):
-    """Habitable rooms that need a window."""
-    return units.window_repair(nodes(spark, sf_dir), F.col("role").isin("STANDARD", "MEDIUM"))
+    """Windows for habitable rooms that lack one, on their longest outer side; rooms without such a side cannot."""
+    return units.window_repair(box_rooms(spark, sf_dir)[0], F.col("role").isin("STANDARD", "MEDIUM"))
 
 
 @query(f"WITH {NODES} SELECT CASE WHEN role IN ('PROMO', 'ECONOMY', 'SMALL') THEN 'STANDARD' ELSE role END AS role, count(*) AS n FROM nodes GROUP BY 1")

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from .plans import corpus, geometry, graphs, ledger, releases, rules, sources, units  # noqa: F401
+    from .plans import corpus, drawings, evaluation, geometry, graphs, labels, ledger, releases, rules, sources, units  # noqa: F401

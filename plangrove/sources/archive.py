@@ -98,3 +98,37 @@ def link_by_fingerprint(rows: DataFrame) -> DataFrame:
     """Label archives do not share keys: equal pictures (crc and size) link them. One row per picture with its keys by label."""
     pairs = rows.groupBy("crc", "file_size", "label").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     return pairs.groupBy("crc", "file_size").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "key")))).alias("keys"), F.sum("copies").alias("copies"))
+
+
+#: Open archives of one worker, the oldest first.
+_HANDLES: dict = {}
+
+
+def read_entries(index: DataFrame, handles: int = 8) -> DataFrame:
+    """Adds ``content`` to rows with ``zip, entry``: the entry's bytes, null if the archive or the entry cannot be read.
+
+    A worker keeps a few archives open between rows, so rows should come sorted by archive.
+    """
+
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            names, contents = batch.schema.names, []
+            for path, entry in zip(batch.column(names.index("zip")).to_pylist(), batch.column(names.index("entry")).to_pylist(), strict=True):
+                try:
+                    if path is None or entry is None:
+                        raise KeyError(entry)
+                    if path not in _HANDLES:
+                        while len(_HANDLES) >= handles:
+                            _HANDLES.pop(next(iter(_HANDLES))).close()
+                        _HANDLES[path] = zipfile.ZipFile(path)
+                    contents.append(_HANDLES[path].read(entry))
+                except (OSError, KeyError, zipfile.BadZipFile):
+                    contents.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary())], [*names, "content"])
+
+    rows = index.repartition("zip").sortWithinPartitions("zip")
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", content binary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+
 #: Annotation documents in the common object-detection layout; segmentation is read as text, since it is flat or nested.
 ANNOTATIONS = """categories array<struct<id: long, name: string>>, images array<struct<file_name: string, width: int, height: int>>,
 annotations array<struct<id: long, category_id: long, segmentation: string, bbox: array<double>, area: double, attributes: map<string, string>>>"""
@@ -34,7 +36,8 @@ def ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
     """The lines that :func:`ledger` skips."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").json(path).cache().where("_corrupt_record is not null").select("_corrupt_record")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed["_corrupt_record"].alias("_corrupt_record")).where("_corrupt_record is not null")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
@@ -68,8 +71,11 @@ def svg_regions(binary: DataFrame) -> DataFrame:
 
 
 def write_release(graphs: DataFrame, path: str) -> None:
-    """A frozen release: rows by version and split. An existing version is replaced as a whole."""
-    graphs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "split").parquet(path)
+    """A frozen release: rows by version and split. An existing version is replaced as a whole, splits that the new one lacks included; others stay."""
+    graphs = checkpointed(graphs)  # it may be read from the folder it is written to
+    for r in graphs.select("version").distinct().toLocalIterator():
+        rows = graphs.where(F.col("version") == r["version"]).drop("version")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("split").parquet(f"{path}/version={r['version']}")
 
 
 def read_split(spark: SparkSession, path: str, version: str, split: str) -> DataFrame:

@@ -39,7 +39,10 @@ def run_available(stream: DataFrame, checkpoint: str, path: str) -> StreamingQue
 
 
 def keep_latest(stream: DataFrame, checkpoint: str, path: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keeps a table with the last row of each key: a batch's rows and the table's are compacted into the next generation."""
+    """Keeps a table with the last row of each key: a batch's rows and the table's are compacted into the next generation.
+
+    A generation is the whole table, so batches should be large; of earlier ones only the last stays, for a batch that is repeated.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -48,5 +51,8 @@ def keep_latest(stream: DataFrame, checkpoint: str, path: str, keys: list[str],
             new = latest_per_key(spark.read.parquet(f"{path}/generation={number - 1}").unionByName(new), keys, order)
         # a repeated batch writes the same generation again
         new.write.mode("overwrite").parquet(f"{path}/generation={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

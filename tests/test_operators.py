@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plangrove.functions import geometry as G
 from plangrove.functions import scalars as S
-from plangrove.operators import aggregates, classify, generate, graph, matching, rules, windows
+from plangrove.operators import aggregates, classify, generate, graph, matching, rules, units, windows
 
 
 def one(spark, *cols):
@@ -59,7 +59,7 @@ def test_wilson_and_draws(spark):
 
 
 def test_reasons_and_dispositions(spark):
-    rows = [("success", None), ("quarantine", "R2_doorless_room,R4_no_entrance"), ("quarantine", "duplicate:x,R1_isolated_node"), ("quarantine", ""), (None, "odd")]
+    rows = [("success", None), ("quarantine", "R2_doorless_room,R4_no_entrance"), ("quarantine", "duplicate:x,R1_isolated_component"), ("quarantine", ""), (None, "odd")]
     g, n = classify.disposition_of(F.col("s"), F.col("r"))
     got = [tuple(r) for r in spark.createDataFrame(rows, "s string, r string").select(g, n).collect()]
     assert got == [("use", "accepted"), ("fix", "R4_no_entrance"), ("excl", "duplicate"), ("fix", "other"), ("use", "accepted")]
@@ -144,16 +144,85 @@ def test_components_and_hops(spark, seed):
     assert {(r.g, r.n): r.hops for r in graph.hop_distance(nd, ed, F.col("is_entrance")).collect()} == {k: hops.get(k) for k in comp}
     empty = ed.where("false")
     assert {(r.g, r.n): r.component for r in graph.components(nd, empty).collect()} == {(g, n): n for g, n, *_ in nodes}
-
-
-def test_integrity_of_two_rooms(spark):
+    # plans above the limit of a task are solved through tables, with the same result
+    whole = {(r.g, r.n): r for r in graph.solved(nd, ed, F.col("is_entrance")).collect()}
+    for limit in (0, 14, 20):
+        assert {(r.g, r.n): r for r in graph.solved(nd, ed, F.col("is_entrance"), limit=limit).collect()} == whole, limit
+    assert {k: r.component for k, r in whole.items()} == comp and {k: r.hops for k, r in whole.items()} == {k: hops.get(k) for k in comp}
+    for (g, n), r in whole.items():
+        size = {c: sum(comp[k] == c for k in comp if k[0] == g) for c in {comp[k] for k in comp if k[0] == g}}
+        assert r.main == (min(size, key=lambda c: (-size[c], c)) == r.component) and r.degree == sum((h == g) * ((a == n) + (b == n)) for h, a, b, *_ in edges)
+        assert r.entered == any(h == g and e for h, _, *_, e, _ in nodes) and r.first == (n == 1)
+
+
+def rules_of(spark, rooms, edges, unresolved=()):
+    """The rules that one plan (rooms as role, entrance) violates."""
+    nd = spark.createDataFrame([(1, k, role, e) for k, (role, e) in enumerate(rooms, 1)], "g long, n int, role string, is_entrance boolean")
+    ed = spark.createDataFrame([(1, a, b, via) for a, b, via in edges], "g long, a int, b int, via string")
+    left = spark.createDataFrame(list(unresolved), "g long, n_unresolved long")
+    found = rules.integrity(graph.solved(nd, ed, F.col("is_entrance")), left)
+    return sorted((r.rule, r.n) for r in found.collect())
+
+
+def test_integrity_rules(spark):
+    two = [("entrance", True), ("bedroom", False)]
+    assert rules_of(spark, two, [(1, 2, "door")]) == []
+    # an open passage or a balcony joins as well as a door
+    assert rules_of(spark, two, [(1, 2, "open")]) == []
+    assert rules_of(spark, [*two, ("balcony", False)], [(1, 2, "door"), (2, 3, "balcony")]) == []
+    # a blocked gap: no way between the two
+    assert rules_of(spark, two, []) == [("R1_isolated_component", 2), ("R2_doorless_room", 1), ("R2_doorless_room", 2), ("R3_unreachable_from_entrance", 2)]
+    # an isolated third room; the larger part is the main one even if its least room comes later
+    assert rules_of(spark, [*two, ("store", False)], [(1, 2, "door")]) == [("R1_isolated_component", 3), ("R2_doorless_room", 3), ("R3_unreachable_from_entrance", 3)]
+    assert rules_of(spark, [("store", False), *two], [(2, 3, "door")]) == [("R1_isolated_component", 1), ("R2_doorless_room", 1), ("R3_unreachable_from_entrance", 1)]
+    assert rules_of(spark, [("a", False), ("b", False)], [(1, 2, "door")]) == [("R4_no_entrance", None)]
+    assert rules_of(spark, two, [(1, 2, "door")], [(1, 2), (2, 0)]) == [("R5_unresolved_doors", None)]
+
+
+def test_legal_rules(spark):
+    shape = "g long, n int, role string, area double, len double, has_window boolean, scale double"
+    nd = spark.createDataFrame([(1, 1, "bed", 10.0, 0.0, True, 1.0), (1, 2, "bed", 10.0, 0.5, True, 1.0), (1, 3, "bed", 5.0, 2.0, False, 1.0), (1, 4, "balcony", 50.0, 0.0, False, 1.0), (2, 1, "bed", 5.0, 0.1, True, None), (3, 1, "bed", 8.0, 9.0, True, 1.0), (3, 2, "balcony", 90.0, 0.0, False, 1.0)], shape)
+    got = rules.legal(nd, F.col("scale"), F.col("role") == "bed", F.col("role") == "bed", F.lit(False), F.col("len"), F.col("role") == "balcony")
+    want = [(1, 2, "L1_daylight_ratio"), (1, 3, "L1_daylight_window"), (1, 3, "L2_ventilation_window"), (1, 3, "L4_bedroom_min_area"), (3, None, "L5_dwelling_min_area")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_architecture_rules(spark):
+    roles = {"unit": "unit", "balcony": "balcony", "dressing": "dressing", "bedrooms": ["bed"], "bath": "bath", "hub": "hub"}
+    nd = spark.createDataFrame([(1, 1, "unit"), (1, 2, "balcony"), (1, 3, "dressing"), (1, 4, "bed"), (1, 5, "bath"), (1, 6, "unit"), (2, 1, "dressing"), (2, 2, "bed"), (2, 3, "bath"), (2, 4, "hub")], "g long, n int, role string")
+    e = [(1, 1, 2), (1, 3, 4), (1, 3, 5), (1, 4, 5), (1, 4, 2), (2, 1, 2), (2, 1, 3), (2, 1, 4)]
+    role = {(r.g, r.n): r.role for r in nd.collect()}
+    ed = spark.createDataFrame([(g, a, b, role[g, a], role[g, b], "door") for g, a, b in e], "g long, a int, b int, role_a string, role_b string, via string")
+    assert sorted((r.g, r.n, r.rule) for r in rules.architecture(nd, ed, **roles).collect()) == [(1, 3, "A2_master_suite_hub"), (1, 6, "A4_hvac_on_balcony")]
+    rooms, links = rules.apply_architecture(nd, ed, **roles, living=["bed"])
+    assert sorted(map(tuple, rooms.where("role = 'hub'").select("g", "n").collect())) == [(1, 7), (2, 4)]
+    got = sorted((r.g, r.a, r.b, r.via) for r in links.collect())
+    assert got == [(1, 1, 2, "door"), (1, 2, 4, "open"), (1, 2, 6, "balcony"), (1, 3, 7, "open"), (1, 4, 7, "open"), (1, 5, 7, "door"), (2, 1, 2, "door"), (2, 1, 3, "door"), (2, 1, 4, "door")]
+
+
+def test_window_and_egress_repairs(spark):
+    boxes = [(1, 1, "hall", True, 0, 0, 4, 4), (1, 2, "bed", False, 4, 0, 8, 4), (1, 3, "bed", False, 8, 0, 12, 4), (1, 4, "bed", False, 40, 0, 44, 4), (2, 1, "bed", False, 0, 0, 4, 4)]
+    rooms = spark.createDataFrame([(g, n, r, e, r == "hall", *map(float, b)) for g, n, r, e, *b in boxes], "g long, n int, role string, is_entrance boolean, has_window boolean, x0 double, y0 double, x1 double, y1 double").withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    none = spark.createDataFrame([], "g long, a int, b int")
+    got = sorted((tuple(r) for r in units.egress_repair(rooms, none, 0.5, 1.0).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 3, 2, True), (1, 4, None, False), (2, None, None, False)], key=repr)
+    linked = spark.createDataFrame([(1, 1, 2), (1, 4, 3)], "g long, a int, b int")
+    # a new door opens the way to what lies behind it
+    assert sorted(tuple(r) for r in units.egress_repair(rooms.where("g = 1"), linked, 0.5, 1.0).collect()) == [(1, 3, 2, True)]
+    inner = [(1, 1, 0, 0, 2, 2), (1, 2, 2, 0, 4, 2), (1, 3, -2, 0, 0, 2), (1, 4, 0, 2, 2, 4), (1, 5, 0, -2, 2, 0)]
+    dark = spark.createDataFrame([(g, n, False, *map(float, b)) for g, n, *b in inner], "g long, n int, has_window boolean, x0 double, y0 double, x1 double, y1 double").withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    fixed = {r.n: (r.ok, r.x, r.y, r.width) for r in units.window_repair(dark, F.col("n").isin(1, 2)).collect()}
+    assert fixed == {1: (False, None, None, None), 2: (True, 3.0, 0.0, 24.0)}
+
+
+def test_verdicts_and_egress(spark):
     nd = spark.createDataFrame([(1, 1, "A", 10.0, 1.0, True, True), (1, 2, "B", 8.0, 1.0, False, True), (2, 1, "A", 10.0, 1.0, False, True)], "g long, n int, role string, area double, price double, is_entrance boolean, has_window boolean")
     ed = spark.createDataFrame([(1, 1, 2, "A", "B", "door")], "g long, a int, b int, role_a string, role_b string, via string")
-    comp = graph.components(nd, ed)
-    found = rules.integrity(nd, ed, comp, graph.hop_distance(nd, ed, F.col("is_entrance")))
-    assert sorted((r.g, r.rule) for r in found.collect()) == [(2, "R1_isolated"), (2, "R2_doorless"), (2, "R4_no_entrance")]
+    solved = graph.solved(nd, ed, F.col("is_entrance"))
+    found = rules.integrity(solved, spark.createDataFrame([], "g long, n_unresolved long"))
+    assert sorted((r.g, r.rule) for r in found.collect()) == [(2, "R2_doorless_room"), (2, "R4_no_entrance")]
     assert {r.g: r.passed for r in rules.verdicts(found, nd).collect()} == {1: True, 2: False}
-    assert sorted((r.g, r.n) for r in rules.egress(nd, comp).collect()) == [(2, None)]
+    assert sorted((r.g, r.n) for r in rules.egress(solved).collect()) == [(2, None)]
 
 
 def test_grid_pairs_equal_all_pairs(spark):
@@ -173,7 +242,14 @@ def test_greedy_matches(spark):
     shape = "g long, id int, role string, x double, y double"
     left = spark.createDataFrame([(1, 1, "a", 0.0, 0.0), (1, 2, "a", 1.0, 0.0)], shape)
     right = spark.createDataFrame([(1, 1, "a", 1.0, 0.0), (1, 2, "b", 0.0, 0.0), (1, 3, "a", 9.0, 0.0)], shape)
-    assert [(r.a, r.b) for r in matching.greedy_in_order(left, right, "g", 5.0).collect()] == [(1, 1)]
+    # the nearest of any role; of equally near ones the later
+    assert [(r.a, r.b, r.same_role) for r in matching.greedy_in_order(left, right, "g", 5.0).collect()] == [(1, 2, False), (2, 1, True)]
+    twins = spark.createDataFrame([(1, 1, "a", 1.0, 0.0), (1, 2, "a", -1.0, 0.0)], shape)
+    assert [(r.a, r.b) for r in matching.greedy_in_order(left.where("id = 1"), twins, "g", 5.0).collect()] == [(1, 2)]
+    same = lambda a, b, t: matching.same_correction(a, b, "g", t).first().same
+    assert same(left, left, 0.0) and not same(left, right, 5.0) and not same(left, twins, 0.5) and same(left, twins, 1.5)
+    assert [(r.a, r.b, r.role_a, r.role_b) for r in matching.centroid_match(left, right, "g", 2.0).collect()] == [(1, 2, "a", "b"), (2, 1, "a", "a")]
+    assert matching.alignment_error(left, twins, "g").first().worst == 2.0 and matching.alignment_error(left, right, "g").first().worst == float("inf")
 
 
 def test_generator_connects_every_plan(spark):
@@ -207,6 +283,6 @@ def test_contamination_does_not_depend_on_the_size_of_the_benchmark(spark, tmp_p
     spark.createDataFrame([(1, f"x {long} y"), (2, "ab abc"), (3, ""), (4, None), (5, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("a", long), ("b", "abc"), ("c", "ab"), ("d", ""), ("e", None), ("f", "absent"), ("g", long[:24])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = {"a": 1, "b": 2, "c": 2, "d": 4, "e": 0, "f": 0, "g": 1}
-    for limit in (8_000_000, 0):
-        monkeypatch.setattr(releases, "BROADCAST_BYTES", limit)
+    for limit in (8_000_000, 1):
+        monkeypatch.setattr(releases, "SLICE_BYTES", limit)
         assert {r.item_id: r.n_docs for r in releases.benchmark_contamination(spark, str(tmp_path)).collect()} == want, limit

@@ -58,7 +58,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["disposition_accounting", "adjacency_mining", "cooccurrence_fit", "legal_rules", "split_impact", "box_adjacency", "overlapping_boxes"])
+@pytest.mark.parametrize("name", ["disposition_accounting", "adjacency_mining", "cooccurrence_fit", "legal_rules", "split_impact", "box_adjacency", "overlapping_boxes", "benchmark_contamination", "keep_one_duplicates", "copy_ordinals"])
 def test_plans_hold_no_cross_join(spark, sf_dir, name):
     plan = plan_of(registry.QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
