@@ -10,9 +10,10 @@ classes.  Within a shared class, a word that the corpus holds ``LEAST_COUNT`` ti
 other words have the rest of the class together, dealt by a byte bigram model of the spelling of the corpus's rare words.  So every
 word is predicted, and the vocabulary grows with the corpus.
 
-Word counts and training cover every word of every document: each task trains a copy from the same start on all windows of its
-documents, in numpy, with equal contexts taken together, and the copies are averaged by their number of windows.  The averaged
-network is of fixed size; the vocabulary stays a table.  Its ``KNOWN_WORDS`` most frequent words are known to every worker, for speed
+Word counts and training cover every word of every document.  Classes are few, so all windows of the corpus are a table of at most
+``VOCAB`` cubed counts of (left, right, centre); each task counts its own in numpy, the counts are added up, and one task trains one network on that table, equal contexts taken together,
+in a fixed order.  The model therefore does not depend on how the corpus is cut into files or tasks, and its training takes the same time at every size.  The network
+is of fixed size; the vocabulary stays a table.  Its ``KNOWN_WORDS`` most frequent words are known to every worker, for speed
 only: occurrences of all others are joined with the table.
 """
 
@@ -34,11 +35,12 @@ from .decontam import words_of
 
 VOCAB = 256
 BUCKETS = 64
-HIDDEN = 24
-#: Tokens that a task trains on at a time.
+HIDDEN = 48
+#: Tokens whose windows a task counts at a time.
 CHUNK_TOKENS = 1 << 22
-#: Steps that a chunk is worth at least: one with few distinct contexts is gone through again.
-LEAST_STEPS = 90
+#: Steps of training, and contexts of a step.
+STEPS = 3000
+BATCH = 512
 #: Distinct words that a task holds before it reports them.
 HELD_WORDS = 300_000
 #: Occurrences in the corpus that give a word a probability of its own.
@@ -104,45 +106,44 @@ class Network:
         return h, z
 
 
-class Trainer:
-    """Adam on the summed cross entropy of distinct contexts."""
-
-    def __init__(self, net: Network, rate: float = 0.01):
-        self.net, self.rate, self.t = net, rate, 0
-        self.m, self.v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
-
-    def learn(self, context: np.ndarray, centre: np.ndarray, batch: int = 512) -> None:
-        """All windows of a chunk, as often as ``LEAST_STEPS`` asks; ``context`` is left * vocabulary + right."""
-        net, vocab = self.net, len(self.net.bias)
-        cells, n = np.unique(context * vocab + centre, return_counts=True)
-        of, token = cells // vocab, cells % vocab
-        contexts, first = np.unique(of, return_index=True)
-        ends = np.append(first[1:], len(of))
-        random = np.random.default_rng(len(cells))
-        passes = -(-LEAST_STEPS // -(-len(contexts) // batch))
-        order = np.concatenate([random.permutation(len(contexts)) for _ in range(passes)])
-        for k in range(0, len(order), batch):
-            pick = order[k : k + batch]
-            c, u = contexts[pick], len(pick)
-            sizes = ends[pick] - first[pick]
-            at = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-            seen = np.zeros((u, vocab), np.float32)
-            seen[np.repeat(np.arange(u), sizes), token[at]] = n[at]
-            # frequent contexts count by the root of their windows, so that one batch is not one context
-            weight = 1 / np.sqrt(seen.sum(1, keepdims=True))
-            l, r = c // vocab, c % vocab
-            h, z = net.log_probs(l, r)
-            g = np.exp(z) * (seen.sum(1, keepdims=True) * weight) - seen * weight
-            g /= max(1.0, float((seen * weight).sum()))
-            dh = (g @ net.out) * (1 - h * h)
-            grads = [np.zeros_like(net.left), np.zeros_like(net.right), dh.sum(0), g.T @ h, g.sum(0)]
-            np.add.at(grads[0], l, dh)
-            np.add.at(grads[1], r, dh)
-            self.t += 1
-            for p, m, v, d in zip(net.parts(), self.m, self.v, grads, strict=True):
-                m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-6)
+def loss_gradient(net: Network, l: np.ndarray, r: np.ndarray, seen: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean weighted cross entropy of the centres ``seen`` (counts by context and class) and its gradient.
+
+    A context counts by the root of its windows, so that one batch is not one context.
+    """
+    total = seen.sum(1, keepdims=True)
+    weight = 1 / np.sqrt(np.maximum(total, 1))
+    scale = max(1.0, float((seen * weight).sum()))
+    h, z = net.log_probs(l, r)
+    g = (np.exp(z) * (total * weight) - seen * weight) / scale
+    dh = (g @ net.out) * (1 - h * h)
+    grads = [np.zeros_like(net.left), np.zeros_like(net.right), dh.sum(0), g.T @ h, g.sum(0)]
+    np.add.at(grads[0], l, dh)
+    np.add.at(grads[1], r, dh)
+    return -float((seen * weight * z).sum()) / scale, grads
+
+
+def fit(counts: np.ndarray, steps: int = STEPS, rate: float = 0.01) -> Network:
+    """Adam on the table of counts (contexts as left * vocabulary + right, by centres); contexts without windows are left out. Without any: the start network."""
+    vocab = counts.shape[1]
+    net = Network.start(vocab)
+    contexts = np.flatnonzero(counts.any(1))
+    if not len(contexts):
+        return net
+    random = np.random.default_rng(len(contexts))
+    m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
+    order = np.zeros(0, np.int64)
+    for t in range(1, steps + 1):
+        if not len(order):
+            order = random.permutation(contexts)
+        c, order = order[:BATCH], order[BATCH:]
+        _, grads = loss_gradient(net, c // vocab, c % vocab, counts[c])
+        now = rate * (1 - (t - 1) / steps)
+        for p, a, b, d in zip(net.parts(), m, v, grads, strict=True):
+            a += 0.1 * (d - a)
+            b += 0.01 * (d * d - b)
+            p -= now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+    return net
 
 
 def windows(ids: np.ndarray, vocab: int) -> np.ndarray:
@@ -277,11 +278,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     within, vocabulary = _within(counts, words)
     shared = spark.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, trainer, seen, held, size = Ids(shared.value), Trainer(Network.start()), 0, [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, size = Ids(shared.value), [], 0
 
-        def learn():
-            trainer.learn(np.concatenate([windows(x, VOCAB) for x in held]), np.concatenate(held))
+        def report() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate([windows(x, VOCAB) * VOCAB + x for x in held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
         for batch in batches:
             for piece in slices(batch.column(0)):
@@ -289,19 +291,23 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                     held.append(ids.of(t))
                     size += len(held[-1])
                 if size >= CHUNK_TOKENS:
-                    learn()
-                    seen, held, size = seen + size, [], 0
+                    yield report()
+                    held, size = [], 0
         if size:
-            learn()
-            seen += size
-        if seen:
-            flat = trainer.net.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64)), pa.array(np.full(len(flat), seen, np.int64))], ["i", "w", "n"])
-
-    copies = texts.mapInArrow(tidied(run), "i int, w double, n long")
-    mean = copies.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-    got = materialise(mean, "lm-network").toPandas().sort_values("i")
-    return Model(words, got["w"].to_numpy(np.float32) if len(got) else Network.start().flat(), within, vocabulary)
+            yield report()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((VOCAB * VOCAB, VOCAB), np.float32)
+        for batch in batches:
+            table.ravel()[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        flat = fit(table).flat()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64))], ["i", "w"])
+
+    cells = texts.mapInArrow(tidied(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # one network: at most VOCAB cubed rows of 12 bytes meet in one task, whatever the corpus
+    network = materialise(cells, "lm-cells").coalesce(1).mapInArrow(tidied(learn), "i int, w double")
+    got = materialise(network, "lm-network").toPandas().sort_values("i")
+    return Model(words, got["w"].to_numpy(np.float32), within, vocabulary)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lm") -> DataFrame:

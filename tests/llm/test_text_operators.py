@@ -327,6 +327,33 @@ def test_pseudo_likelihood(spark):
     assert lm.score(empty(spark), lm.train(empty(spark))).count() == 0
 
 
+def test_pseudo_likelihood_training(spark):
+    r = np.random.default_rng(6)
+    net = lm.Network.start(9, 5)
+    for p in net.parts():
+        p[...] = r.normal(0, 0.5, p.shape)
+    net = lm.Network(*(p.astype(np.float64) for p in net.parts()))
+    l, c, seen = r.integers(0, 9, 7), r.integers(0, 9, 7), r.integers(0, 4, (7, 9)).astype(np.float64)
+    _, grads = lm.loss_gradient(net, l, c, seen)
+    for p, g in zip(net.parts(), grads, strict=True):
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 6)]:
+            old = p[at]
+            p[at] = old + 1e-6
+            up = lm.loss_gradient(net, l, c, seen)[0]
+            p[at] = old - 1e-6
+            slope = (up - lm.loss_gradient(net, l, c, seen)[0]) / 2e-6
+            p[at] = old
+            assert abs(slope - g[at]) < 1e-6
+    # the model does not depend on how the corpus is dealt to tasks
+    import random
+
+    q = random.Random(2)
+    rows = [(i, " ".join(q.choice("a b c d e f g".split()) for _ in range(q.randint(0, 40)))) for i in range(60)]
+    docs = frame(spark, rows)
+    one, other = lm.train(docs.repartition(1)), lm.train(docs.repartition(7, "text"))
+    assert one.words == other.words and (one.flat == other.flat).all() and (one.within.rest == other.within.rest).all()
+
+
 def test_pseudo_likelihood_predicts_words_not_buckets(spark, monkeypatch):
     import zlib
 
