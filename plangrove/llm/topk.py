@@ -1,10 +1,12 @@
 """Exact inner-product top-k by ball-tree branch and bound in shards.
 
-Vectors are dealt to shards of bounded size by the hash of their id; each shard builds one ball tree (centre, radius, least
-id per node).  Queries travel in blocks.  In a shard the nodes are visited in order of their upper bound
+Vectors are dealt to the nearest of a bounded number of centres and within a centre to shards of bounded size, so that near vectors share a
+shard; each shard builds one ball tree (centre, radius, least
+id per node).  Queries travel in blocks, also of near ones.  The root balls of all shards form a small table in chunks, against which every block is held before it is sent anywhere: a block first goes to the shards whose
+centres score best, and the k-th scores found there go with it; it is sent only to those further shards whose bound some query's k-th score does not exceed.
+In a shard the nodes are visited in order of their upper bound
 ``q.c + |q| r``, for all queries of a block at once; a node is skipped for the queries whose current k-th score exceeds its bound (at an equal
-bound, if all of its ids are larger).  The k-th score is shared: each block first searches one home shard, and the k-th
-scores found there go with the block to all other shards, which return only what improves on them.
+bound, if all of its ids are larger).
 
 Components are integers (``floor(scale * x)``), so scores are exact as long as they fit 53 bits; larger ones are computed in
 Python integers and held at the limits of 64 bits.
@@ -26,6 +28,11 @@ from .common import materialise, tidied
 SHARD_ROWS = 8_192
 LEAF_ROWS = 64
 BLOCK_QUERIES = 256
+#: Centres at most, and bytes of centres that are broadcast; root balls of a chunk; shards of a chunk that a block visits first.
+CENTRES = 2_048
+CENTRE_BYTES = 8 << 20
+CHUNK_ROOTS = 4_096
+HOMES = 2
 _NONE = np.iinfo(np.int64).min
 _LIMIT = np.iinfo(np.int64).max
 
@@ -93,7 +100,7 @@ class BallTree:
 
         def live(b, level, nodes):
             least = self.levels[level][2][nodes][None, :]
-            return (b > kth[:, None] + 0.5) | ((b > kth[:, None] - 0.5) & ((least < kth_id[:, None]) | (b >= kth[:, None] + 1)))
+            return (b > kth[:, None] + 0.5) | ((b > kth[:, None] - 0.5) & ((least < kth_id[:, None]) | (b >= kth[:, None] + 1))) | np.isnan(b)
 
         def visit(leaf):
             nonlocal best, best_id
@@ -166,18 +173,61 @@ def _trees(scale: float, leaf: int):
         ids = table.column("id").to_numpy()
         x = integers(table.column("v").to_pylist(), scale)
         tree = BallTree(ids, x, leaf)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tag": pa.array([0], pa.int32()), "blob": pa.array([tree.blob()], pa.binary())})
+        centre, radius, least = (level[0] for level in tree.levels[-1])
+        row = {"dim": [key[0].as_py()], "shard": [key[1].as_py()], "blob": [tree.blob()], "centre": [centre.tolist()], "radius": [float(radius)], "least": [int(least)]}
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(row.items(), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.float64(), pa.int64()), strict=True)})
 
     return run
 
 
+def _roots(key, table):
+    """The root balls of some shards as one blob."""
+    blob = _pack(shard=table.column("shard").to_numpy(), centre=np.array(table.column("centre").to_pylist()), radius=table.column("radius").to_numpy(), least=table.column("least").to_numpy())
+    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "roots": pa.array([blob], pa.binary())})
+
+
 def _blocks(scale: float):
     def run(key, table):
         x = integers(table.column("v").to_pylist(), scale)
         ids = table.column("id").to_numpy()
         n = len(ids)
         blob = _pack(ids=ids, x=x if x.dtype != object else x.astype(str), floor=np.full(n, _NONE, np.int64), floor_id=np.full(n, np.iinfo(np.int64).max, np.int64))
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    return run
+
+
+def _queries(z: dict) -> np.ndarray:
+    return z["x"] if z["x"].dtype == np.float64 else np.array([[int(v) for v in r] for r in z["x"]], object)
+
+
+def _send(first: bool):
+    """Rows (dim, block, blob, roots) to copies (dim, shard, tag, blob) of a block for the shards of a chunk that it visits first, or else for those that may still improve it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, block, blob, roots in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                z, r = _load(blob), _load(roots)
+                q = _queries(z).astype(np.float64)
+                norm = np.sqrt((q * q).sum(1))
+                score = q @ r["centre"].T
+                # the shards whose centres are best for the most queries; of equal ones the smaller number
+                votes = np.bincount(score.argmax(1), minlength=len(r["shard"]))
+                home = np.lexsort((r["shard"], -votes))[:HOMES]
+                home = home[votes[home] > 0]
+                if first:
+                    to = home
+                else:
+                    b = score + norm[:, None] * r["radius"][None, :]
+                    b = b + 1e-9 * (np.abs(b) + norm[:, None] * np.abs(r["centre"]).max(initial=1.0)) + 1e-6
+                    floor = z["floor"].astype(np.float64)[:, None]
+                    live = (b > floor + 0.5) | ((b > floor - 0.5) & ((r["least"][None, :] < z["floor_id"][:, None]) | (b >= floor + 1))) | np.isnan(b)
+                    live[:, home] = False
+                    to = np.flatnonzero(live.any(0))
+                for k in range(0, len(to), 32):
+                    some = r["shard"][to[k : k + 32]]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim] * n, pa.int32()), pa.array(some, pa.int64()), pa.array([block + 1] * n, pa.int64()), pa.array([blob] * n, pa.binary())], ["dim", "shard", "tag", "blob"])
 
     return run
 
@@ -195,11 +245,11 @@ def _search(k: int):
                 if at != (dim, shard):
                     continue
                 z = _load(blob)
-                q = z["x"] if z["x"].dtype == np.float64 else np.array([[int(v) for v in r] for r in z["x"]], object)
+                q = _queries(z)
                 score, ids = tree.search(z["ids"], q, k, z["floor"], z["floor_id"])
                 i, j = np.nonzero(score > _NONE)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), dim, np.int32)), pa.array(np.full(len(i), tag - 1, np.int32)), pa.array(z["ids"][i]), pa.array(ids[i, j]), pa.array(score[i, j])],
+                    [pa.array(np.full(len(i), dim, np.int32)), pa.array(np.full(len(i), tag - 1, np.int64)), pa.array(z["ids"][i]), pa.array(ids[i, j]), pa.array(score[i, j])],
                     ["dim", "block", "query_id", "id", "score"],
                 )
 
@@ -224,7 +274,7 @@ def _with_floor(k: int):
                     if len(best) >= k:
                         z["floor"][n], z["floor_id"][n] = -best[k - 1][0], best[k - 1][1]
                 out.append(_pack(**z))
-        return pa.table({"dim": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array([key[1].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+        return pa.table({"dim": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array([key[1].as_py()] * len(out), pa.int64()), "blob": pa.array(out, pa.binary())})
 
     return run
 
@@ -241,26 +291,61 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     fine = v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
     rows = materialise(rows.groupBy("id").agg(F.min(F.struct("v", "ask")).alias("m")).select("id", "m.*", F.size("m.v").alias("dim")), "topk-rows")
-    total = rows.groupBy().agg(F.count("*").alias("n"), F.count(F.when(F.col("ask"), 1)).alias("q")).first()
-    shards, blocks = max(1, -(-total["n"] // shard_rows)), max(1, -(-total["q"] // BLOCK_QUERIES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-    trees = materialise(dealt.groupBy("dim", "shard").applyInArrow(_trees(scale, leaf), "dim int, shard int, tag int, blob binary"), "topk-trees")
-    asked = rows.where("ask").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-    asked = materialise(asked.groupBy("dim", "block").applyInArrow(_blocks(scale), "dim int, block int, blob binary"), "topk-blocks")
-    n_tasks = max(2, min(shards, 4096))
-
-    def searched(sent: DataFrame, name: str) -> DataFrame:
-        to = sent.select("dim", "shard", (F.col("block") + 1).alias("tag"), "blob")
-        both = trees.union(to).repartition(n_tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "tag")
-        return materialise(both.mapInArrow(tidied(_search(k)), "dim int, block int, query_id long, id long, score long"), name)
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = searched(asked.withColumn("shard", home), "topk-home")
-    both = asked.unionByName(first, allowMissingColumns=True)
-    floored = both.groupBy("dim", "block").applyInArrow(_with_floor(k), "dim int, block int, blob binary")
-    floored = materialise(floored, "topk-floors")
-    others = floored.withColumn("shard", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array(home)))).withColumn("shard", F.col("shard").cast("int"))
-    found = first.union(searched(others, "topk-rest")) if shards > 1 else first
+    spark = vectors.sparkSession
+    total = rows.groupBy("dim").agg(F.count("*").alias("n")).collect()
+    centres = {}
+    for r in total:  # lengths of vectors are few
+        most = min(CENTRES, max(1, CENTRE_BYTES // (8 * r["dim"] * len(total))), -(-2 * r["n"] // shard_rows))
+        few = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most).select("v").collect()
+        centres[r["dim"]] = np.floor(np.array([x["v"] for x in few]) * scale)
+    near = _nearest(spark.sparkContext.broadcast(centres), scale)
+    placed = materialise(rows.withColumn("c", near("v")), "topk-placed")
+    size = placed.groupBy("dim", "c").agg(F.count("*").alias("n"), F.count_if("ask").alias("q"))
+    part = lambda salt, n, rows_each: F.shiftleft(F.col("c").cast("long"), 32) + F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.greatest(F.col(n), F.lit(1)) / rows_each))
+    # one row a centre, at most CENTRES a length of vectors
+    dealt = placed.join(F.broadcast(size), ["dim", "c"]).select("id", "v", "ask", "dim", part(1, "n", shard_rows).alias("shard"), part(2, "q", BLOCK_QUERIES).alias("block"))
+    shape = "dim int, shard long, blob binary, centre array<double>, radius double, least long"
+    trees = materialise(dealt.groupBy("dim", "shard").applyInArrow(_trees(scale, leaf), shape), "topk-trees")
+    asked = materialise(dealt.where("ask").groupBy("dim", "block").applyInArrow(_blocks(scale), "dim int, block long, blob binary"), "topk-blocks")
+    n_shards = trees.count()
+    chunk = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-n_shards // CHUNK_ROOTS)))).cast("int")
+    roots = materialise(trees.select("dim", "shard", "centre", "radius", "least", chunk.alias("chunk")).groupBy("dim", "chunk").applyInArrow(_roots, "dim int, chunk int, roots binary"), "topk-roots")
+    n_tasks = max(2, min(n_shards, 4096))
+
+    def searched(blocks: DataFrame, first: bool, name: str) -> DataFrame:
+        met = blocks.join(roots, "dim").select("dim", "block", "blob", "roots")
+        sent = materialise(met.mapInArrow(tidied(_send(first)), "dim int, shard long, tag long, blob binary"), f"{name}-sent")
+        both = trees.select("dim", "shard", F.lit(0).cast("long").alias("tag"), "blob").join(sent.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi").union(sent)
+        both = both.repartition(n_tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "tag")
+        return materialise(both.mapInArrow(tidied(_search(k)), "dim int, block long, query_id long, id long, score long"), name)
+
+    home = searched(asked, True, "topk-home")
+    both = asked.unionByName(home, allowMissingColumns=True)
+    floored = materialise(both.groupBy("dim", "block").applyInArrow(_with_floor(k), "dim int, block long, blob binary"), "topk-floors")
+    found = home.union(searched(floored, False, "topk-rest"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def _nearest(shared, scale: float):
+    """A column function: the place of the nearest centre of a vector's length (of equally near ones the first)."""
+    from pyspark.sql.functions import arrow_udf
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        centres = shared.value
+        for batch in batches:
+            out = np.zeros(len(batch), np.int32)
+            size = np.diff(batch.offsets.to_numpy())
+            flat = np.floor(batch.flatten().to_numpy(zero_copy_only=False) * scale)
+            starts = np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                at, c = np.flatnonzero(size == dim), centres[dim]
+                half = (c * c).sum(1) / 2
+                for k in range(0, len(at), 4096):
+                    x = flat[starts[at[k : k + 4096]][:, None] + np.arange(dim)]
+                    out[at[k : k + 4096]] = (x @ c.T - half).argmax(1)
+            yield pa.array(out)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "int")

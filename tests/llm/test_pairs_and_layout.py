@@ -156,3 +156,31 @@ def test_topk_against_brute_force(spark):
     assert len(few) == 2
     huge = spark.createDataFrame([(0, [3e6, 1.0]), (1, [2e6, 5.0]), (2, [-2e6, 1.0])], "vec_id long, embedding array<double>")
     assert [(g.vec_id, g.score) for g in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 65536 * 6000000000000 + 65536 * 5), (2, -65536 * 6000000000000 + 65536)]
+
+
+def test_topk_sends_blocks_to_few_shards(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    middles = r.normal(0, 1, (120, 8))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    x = np.repeat(middles, 40, 0) * 4 + r.normal(0, 0.02, (4800, 8))
+    order = r.permutation(len(x))
+    df = spark.createDataFrame([(i, [float(v) for v in x[k]]) for i, k in enumerate(order)], "vec_id long, embedding array<double>")
+    sent, write = {}, topk.materialise
+
+    def noted(frame, name):
+        out = write(frame, name)
+        sent[name] = out.count() if name.endswith(("sent", "trees", "blocks")) else 0
+        return out
+
+    monkeypatch.setattr(topk, "materialise", noted)
+    got = {}
+    for g in topk.top_k(df, F.col("vec_id") % 50 == 0, k=3, shard_rows=40, leaf=8).collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
+    ints = np.floor(x[order] * 256).astype(np.int64)
+    for q, rows in got.items():
+        score = ints @ ints[q]
+        score[q] = -(1 << 60)
+        best = np.lexsort((np.arange(len(score)), -score))[:3]
+        assert sorted(rows) == [(k + 1, int(i), int(score[i])) for k, i in enumerate(best)]
+    assert len(got) == 96 and sent["topk-trees"] > 100
+    assert sent["topk-rest-sent"] < 0.1 * sent["topk-trees"] * sent["topk-blocks"]
