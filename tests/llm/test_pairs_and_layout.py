@@ -65,6 +65,25 @@ def test_jaccard_against_brute_force(spark, seed, leaf):
     assert got == brute_components(rows)
 
 
+def test_jaccard_spreads_giant_regions(spark, monkeypatch):
+    # a common passage and clouds of near copies; every region of more than five sets counts as giant, in every round
+    monkeypatch.setattr(jaccard, "GIANT", 5)
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 4000)}"
+    passage, rows = [word() for _ in range(12)], []
+    for c in range(3):
+        base = [word() for _ in range(60)]
+        for k in range(30):
+            t = list(base)
+            for _ in range(r.randint(0, 5)):
+                t[r.randrange(len(t))] = word()
+            rows.append((100 * c + k, " ".join(t)))
+    rows += [(1000 + k, " ".join(passage + [word() for _ in range(r.randint(1, 40))])) for k in range(60)]
+    r.shuffle(rows)
+    got = sorted((tuple(x) for x in jaccard.join(frame(spark, rows), leaf=4).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_jaccard_resists_the_center_of_a_cloud(spark):
     # many variants of one text that lie beyond the limit from each other, but for chains among some
     r = random.Random(9)
