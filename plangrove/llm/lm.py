@@ -35,11 +35,11 @@ from .decontam import words_of
 
 VOCAB = 256
 BUCKETS = 64
-HIDDEN = 48
+HIDDEN = 32
 #: Tokens whose windows a task counts at a time.
 CHUNK_TOKENS = 1 << 22
 #: Steps of training, and contexts of a step.
-STEPS = 3000
+STEPS = 1500
 BATCH = 512
 #: Distinct words that a task holds before it reports them.
 HELD_WORDS = 300_000
