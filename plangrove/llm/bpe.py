@@ -71,6 +71,7 @@ class Bpe:
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._split = regex.compile(split)
         self._stand = byte_alphabet()
+        self._stand_in = {b: c for b, c in self._stand.items() if chr(b) != c}
         self.byte_of = {c: b for b, c in self._stand.items()}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         self._check_proper(merges)
@@ -168,15 +169,16 @@ class Bpe:
                     return False
         return True
 
-    def _read(self, matches, base: int, last: list[int], back: list[int]) -> None:
+    def _read(self, matches, base: int, last: list[int], back: list[int], ended: bool) -> None:
         """The transducer's step: extends the encodings of prefixes by the matches that end in what has been read.
 
-        Place k holds the last token of the encoding of the symbols up to there and the place where it starts; place 0 is the last final boundary.
+        If the word has ``ended``, the place before its mark lies on no path: every token with the mark covers the last symbol too. Place k holds the last token of the encoding of the symbols up to there and the place where it starts; place 0 is the last final boundary.
         """
         fits, fit, done = self._fit_ids, self._fit, 0
+        unused, shift = len(last) - 2 if ended else -1, 1 - base
         for end, (token, size) in matches:
-            end += 1 - base
-            if end == done:  # a match that fits came before: an encoding is unique
+            end += shift
+            if end == done or end == unused:  # a match that fits came before (an encoding is unique), or none is needed
                 continue
             j = end - size
             if j < 0:  # it would cross a final boundary
@@ -198,8 +200,8 @@ class Bpe:
             finder.set(chunk)
             last += [self._start] * len(chunk)
             back += [0] * len(chunk)
-            self._read(finder, base, last, back)
             ended, n = chunk.endswith(MARK), len(last) - 1
+            self._read(finder, base, last, back, ended)
             out, at = self._path(last, back, n, n if ended else n - self.lookahead)
             if at > 0:
                 yield out
@@ -227,7 +229,7 @@ class Bpe:
         if n > CHUNK:
             return [i for x in self.transduce(word[k : k + CHUNK] for k in range(0, n, CHUNK)) for i in x]
         last, back = [self._start] * (n + 1), [0] * (n + 1)
-        self._read(self._finder.iter(word), 0, last, back)
+        self._read(self._finder.iter(word), 0, last, back, True)
         return self._path(last, back, n, n)[0]
 
     def _fit(self, key: int) -> bool:
@@ -251,10 +253,13 @@ class Bpe:
         for m in [*(self._cut_special.finditer(text) if self._cut_special else ()), None]:
             plain = text[at : m.start() if m else len(text)]
             if plain:
-                lower = "".join(map(str.lower, unicodedata.normalize("NFC", plain)))
+                if not plain.isascii():
+                    plain = unicodedata.normalize("NFC", plain)
+                # character by character, which matters to a final sigma only
+                lower = plain.lower() if "\u03a3" not in plain else "".join(map(str.lower, plain))
                 for word in self._split.findall(lower):
                     if word:
-                        yield "".join([self._stand[b] for b in word.encode()]), False
+                        yield word.encode().decode("latin-1").translate(self._stand_in), False
             if m:
                 yield m[0], True
                 at = m.end()
@@ -262,7 +267,9 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         """Token ids of a whole text."""
         out: list[int] = []
-        for word, special in [(text, False)] if text.isascii() and text.isalpha() and text.islower() else self.parts(text):
+        if text.isascii() and text.isalpha() and text.islower():
+            return self.word(text)
+        for word, special in self.parts(text):
             if special:
                 out.append(self.special[word])
             else:
@@ -311,8 +318,12 @@ class ChunkCache:
     mark occurs, so a text's ids are those of its pieces in order.
     """
 
-    def __init__(self, solve):
-        self.solve, self.known = solve, ByteCache()
+    def __init__(self, solve, split):
+        self.solve, self.split, self.known = solve, split, ByteCache()
+
+    def words(self, piece: bytes) -> list[bytes]:
+        """The words of an ASCII piece without special tokens, each of which is a word by itself too; others are not cut."""
+        return [w.encode() for w in self.split(piece.decode())] if piece.isascii() and b"<|" not in piece and not piece.isalpha() else []
 
     @staticmethod
     def pieces(text: bytes) -> list[bytes]:
@@ -332,6 +343,8 @@ class ChunkCache:
             stem = piece[:-1]
             if piece[-1] in b".," and stem and 97 <= stem[-1] <= 122:
                 found = self.one(stem) + self.one(piece[-1:])
+            elif len(words := self.words(piece)) > 1:
+                found = tuple(chain.from_iterable(map(self.one, words)))
             else:
                 found = tuple(self.solve(piece.decode()))
             self.known.put(piece, found, 8 * len(found))
@@ -345,7 +358,7 @@ def loaded(path: str) -> Bpe:
 
 @functools.lru_cache(2)
 def _cached(path: str) -> ChunkCache:
-    return ChunkCache(loaded(path).encode)
+    return ChunkCache(loaded(path).encode, loaded(path)._split.findall)
 
 
 def encode_digests(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe") -> DataFrame:

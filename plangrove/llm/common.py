@@ -99,7 +99,7 @@ def text_column(make: Callable[[], Callable[[list], list[pa.Array]]], schema: st
 
 
 #: Bytes of remembered results of one operator in one worker, and of the longest key that is remembered.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 CACHE_KEY = 64
 
 
