@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (a test) gets a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plangrove-checkpoints").rstrip("/")
+    """The folder all executors share; without the setting a local master (a test) gets a local folder and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "/tmp/plangrove-checkpoints"
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
