@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise, slices, text_column, tidied
+from .common import CACHE_BYTES, byte_texts, materialise, slices, text_column, tidied
 from .decontam import words_of
 
 VOCAB = 256
@@ -179,10 +179,6 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["pair", "n"])
 
 
-def _word_key(w: bytes) -> int:
-    return int.from_bytes(hashlib.md5(w).digest()[:8], "big")
-
-
 @dataclass
 class Within:
     """Log probabilities of words within their shared class."""
@@ -195,32 +191,71 @@ class Within:
     #: Log probability of a byte after a byte.
     spell: np.ndarray = field(default_factory=lambda: np.full(1 << 16, -np.log(256)))
 
+    def solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its hash, its log probability if every worker knows it (else NaN), and that without one of its own."""
+        keys = np.frombuffer(b"".join([hashlib.md5(w).digest()[:8] for w in words]), ">u8").astype(np.uint64)
+        own = np.full(len(words), np.nan)
+        if len(self.keys):
+            at = np.minimum(self.keys.searchsorted(keys), len(self.keys) - 1)
+            own = np.where(self.keys[at] == keys, self.own[at], np.nan)
+        spelled = np.zeros(len(words))
+        if words:
+            text = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            spelled = np.add.reduceat(self.spell[text[:-1] * 256 + text[1:]], np.cumsum(size) - size)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+            # CRC-32 spreads spellings evenly over the classes: that of a given class is so many times as likely within it
+            spelled = self.rest[bucket] + np.minimum(0.0, spelled + np.log(BUCKETS))
+        return keys, own, spelled
+
     def known(self, w: bytes) -> float:
         """The log probability of a word that every worker knows, else NaN."""
-        key = np.uint64(_word_key(w))
-        k = int(self.keys.searchsorted(key))
-        return float(self.own[k]) if k < len(self.keys) and self.keys[k] == key else float("nan")
+        return float(self.solve([w])[1][0])
 
     def spelled(self, w: bytes) -> float:
         """That of a word without a probability of its own."""
-        text = np.frombuffer(b"\0" + w + b"\0", np.uint8).astype(np.int64)
-        # CRC-32 spreads spellings evenly over the classes: that of a given class is so many times as likely within it
-        return float(self.rest[zlib.crc32(w) % BUCKETS]) + min(0.0, float(self.spell[text[:-1] * 256 + text[1:]].sum()) + float(np.log(BUCKETS)))
+        return float(self.solve([w])[2][0])
 
 
-class Remembered(dict):
-    """Word to ``solve(word)``, remembered within a bound."""
+class Words(dict):
+    """Word to row of ``classes, own, keys, spelled``; new words are solved together by :meth:`settle`.
 
-    def __init__(self, solve, known: dict | None = None):
-        super().__init__(known or {})
-        self.solve, self.room = solve, 200_000
+    ``top`` have classes of their own. :meth:`trim` forgets the other words once they hold ``CACHE_BYTES``.
+    """
 
-    def __missing__(self, w: bytes):
-        x = self.solve(w)
-        if self.room:
-            self.room -= 1
-            self[w] = x
-        return x
+    def __init__(self, top: list[bytes], within: Within):
+        super().__init__()
+        self.top, self.within = top, within
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update({w: k for k, w in enumerate(self.top)})
+        n = len(self.top)
+        self.fresh: list[bytes] = []
+        self.held = 0
+        self.classes, self.own = np.arange(1, n + 1), np.zeros(n)
+        self.keys, self.spelled = np.zeros(n, np.uint64), np.zeros(n)
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = k = len(self)
+        self.fresh.append(w)
+        return k
+
+    def settle(self) -> None:
+        if not self.fresh:
+            return
+        self.held += sum(map(len, self.fresh)) + 200 * len(self.fresh)
+        bucket = np.fromiter(map(zlib.crc32, self.fresh), np.int64, len(self.fresh)) % BUCKETS
+        keys, own, spelled = self.within.solve(self.fresh)
+        self.classes = np.concatenate([self.classes, len(self.top) + 1 + bucket])
+        self.own, self.keys = np.concatenate([self.own, own]), np.concatenate([self.keys, keys])
+        self.spelled = np.concatenate([self.spelled, spelled])
+        self.fresh = []
+
+    def trim(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.reset()
 
 
 def _bucket():
@@ -322,23 +357,23 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lm"
         table = getattr(fitted, "_table", None)
         if table is None:
             table = fitted._table = fitted.table()
-        ids, within = Ids(fitted.words), fitted.within
-        known = Remembered(within.known, dict.fromkeys(fitted.words, 0.0))
-        other = Remembered(lambda w: (_word_key(w), within.spelled(w)))
+        known = Words(fitted.words, fitted.within)
 
         def step(texts):
-            n, total, size, tail = [], [], [0], []
-            for t in texts:
-                words = words_of(t)
-                x = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                inner = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                left = Counter([words[k] for k in np.flatnonzero(np.isnan(inner)).tolist()])
-                n.append(len(x))
-                total.append(float(table[windows(x, VOCAB), x].sum(dtype=np.float64)) + float(np.nansum(inner)) if len(x) else 0.0)
-                tail += [(*other[w], k) for w, k in left.items()]
-                size.append(len(tail))
-            key, spelled, times = zip(*tail, strict=True) if tail else ((), (), ())
-            parts = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(spelled, pa.float64()), pa.array(times, pa.int64())]
+            rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+            known.settle()
+            n, total, size, left, times = [], [], [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in rows:
+                x, inner = known.classes[k], known.own[k]
+                n.append(len(k))
+                total.append(float(table[windows(x, VOCAB), x].sum(dtype=np.float64)) + float(np.nansum(inner)) if len(k) else 0.0)
+                w, m = np.unique(k[np.isnan(inner)], return_counts=True)
+                left.append(w)
+                times.append(m.astype(np.int64))
+                size.append(size[-1] + len(w))
+            at = np.concatenate(left)
+            parts = [pa.array(known.keys[at].view(np.int64)), pa.array(known.spelled[at]), pa.array(np.concatenate(times))]
+            known.trim()
             return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(parts, ["key", "spelled", "times"]))]
 
         return step
