@@ -193,7 +193,9 @@ def solved(nodes: DataFrame, edges: DataFrame, source: Column | None = None, lim
     mark = F.lit(False) if source is None else F.coalesce(source, F.lit(False))
     rooms = nodes.select(F.col("g").cast("long").alias("g"), F.lit(0).alias("kind"), F.col("n").cast("long").alias("a"), F.col("n").cast("long").alias("b"), mark.alias("source"))
     links = edges.select(F.col("g").cast("long").alias("g"), F.lit(1).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(False).alias("source"))
-    rows = rooms.unionByName(links).repartition("g").sortWithinPartitions("g")
+    # by a hash of the plan: an exchange by the plan itself is left out where rooms and edges come dealt by it already, and AQE then coalesces
+    # the two sides of the union apart, so that a plan's rooms and edges lie in different tasks
+    rows = rooms.unionByName(links).repartition(F.xxhash64("g")).sortWithinPartitions("g")
     got = checkpointed(rows.mapInArrow(_solver(limit), _SOLVED))
     out = ["g", "n", "component", "hops", "degree", "main", "entered", "first"]
     small = got.where("open = 0").select(*out)

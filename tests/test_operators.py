@@ -155,6 +155,26 @@ def test_components_and_hops(spark, seed):
         assert r.entered == any(h == g and e for h, _, *_, e, _ in nodes) and r.first == (n == 1)
 
 
+def test_plans_stay_whole_where_rooms_and_edges_come_dealt_by_plan(spark):
+    """Both sides come from shuffles by plan of very different sizes, which AQE coalesces apart."""
+    from pyspark.sql import Window
+
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        rows = spark.range(6000).select((F.col("id") % 2000).alias("g"), F.col("id").alias("k"))
+        rooms = rows.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).select("g", "n")
+        wide = rows.withColumn("pad", F.sha2(F.col("k").cast("string"), 512)).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+        pairs = wide.select("g", F.col("n").alias("a"), F.col("pad").alias("p")).join(wide.select("g", F.col("n").alias("b"), F.col("pad").alias("q")), "g")
+        near = pairs.where("a < b and p <> q").select("g", "a", "b", F.lit("near").alias("via"))
+        found = graph.solved(rooms, near).groupBy("component").agg(F.count("*").alias("k")).collect()
+        assert [(r.component, r.k) for r in found] == [(1, 6000)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def rules_of(spark, rooms, edges, unresolved=()):
     """The rules that one plan (rooms as role, entrance) violates."""
     nd = spark.createDataFrame([(1, k, role, e) for k, (role, e) in enumerate(rooms, 1)], "g long, n int, role string, is_entrance boolean")
