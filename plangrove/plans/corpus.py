@@ -205,7 +205,7 @@ SELECT doc_id, CASE WHEN regexp_extract(text, '(?i)(\\d+)\\s*the\\b', 1) <> '' T
 def text_constraint_parse(spark, sf_dir):
     """A number next to a keyword (before it, else behind it), a scope word and the language of a free text."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.number_near(F.col("text"), r"the\b").alias("near_the"), F.when(F.contains(F.lower("text"), F.lit("family")), "family").otherwise("unknown").alias("scope"), F.lower(F.coalesce("lang", F.lit(""))).alias("lang"))
+    return d.select("doc_id", S.number_near(F.col("text"), "the" + S.WORD_END).alias("near_the"), F.when(F.contains(S.lowered(F.col("text")), F.lit("family")), "family").otherwise("unknown").alias("scope"), S.lowered(F.coalesce("lang", F.lit(""))).alias("lang"))
 
 
 @query("""WITH old AS (SELECT source AS k, max(n_chars) AS v FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src7' GROUP BY 1), new AS (SELECT source AS k, max(n_chars) AS v FROM documents WHERE doc_id % 3 <> 1 AND source <> 'src8' GROUP BY 1)

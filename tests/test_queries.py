@@ -68,3 +68,13 @@ def test_scans_are_pruned(spark, sf_dir):
     plan = plan_of(registry.QUERIES["seed_aggregate"](spark, sf_dir))
     assert "props" not in plan and "PushedFilters: [IsNotNull(event_type)" in plan
     assert "text" not in plan_of(registry.QUERIES["inventory_coverage"](spark, sf_dir))
+
+
+def test_text_constraints_of_odd_texts(spark, tmp_path):
+    """Numbers beyond an integer, white space and letters beyond ASCII: as the query's SQL has them."""
+    texts = ["99999999999 the 5", "99999999999 the", "the 2147483648", "5 the\u00e9", "5\x0bthe", "the\x0b7", "5\u00a0the", "5 THE_X", "FAM\u0130LY 5 the", "THE 05", "5\nthe", None, ""]
+    spark.createDataFrame([(k, t, ["E\u0130\u03a3", None][k % 2], 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["text_constraint_parse"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert [tuple(r) for r in got] == sorted(db.execute(registry.ORACLE["text_constraint_parse"]).fetchall())
