@@ -84,6 +84,19 @@ def test_jaccard_spreads_giant_regions(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_measures_a_cluster_along_a_star(spark, monkeypatch):
+    """A cluster of m sets is measured with about m pairs, not with m * m / 2 that each bring a whole set along; a chain of copies stays one component."""
+    counts, measure = [], jaccard._measure
+    monkeypatch.setattr(jaccard, "_measure", lambda sets, pairs, turn: (counts.append(pairs.count()), measure(sets, pairs, turn))[1])
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base[:-1] + [f"own{k}"])) for k in range(50)]
+    chain = [f"c{k}" for k in range(300)]
+    rows += [(100 + k, " ".join(chain[12 * k : 12 * k + 150])) for k in range(10)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_components(rows)
+    assert sum(counts) < 150
+
+
 def test_jaccard_resists_the_center_of_a_cloud(spark):
     # many variants of one text that lie beyond the limit from each other, but for chains among some
     r = random.Random(9)
