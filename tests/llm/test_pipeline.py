@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plangrove.llm import jaccard, queries
@@ -98,3 +99,21 @@ def test_near_duplicate_stage_takes_rows_not_ids(spark):
     assert len(b) == 1 and b[0] in (words("b"), words("b") + " more")
     want = [(None, words("a")), (None, b[0]), (1, words("c")), (1, words("d")), (3, words("e")), (4, ""), (4, None), (5, ""), (None, "")]
     assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+def test_shuffle_files_go_with_the_table_they_were_written_for(spark):
+    import time
+
+    from plangrove.llm.common import materialise
+
+    held = lambda: {f.getPath() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = held()
+    rows = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    assert materialise(rows, "test-clean", clean=True).count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    for _ in range(50):
+        left = {f for f in held() - before if f.endswith(".data")}
+        if len(left) <= 1:  # at most that of the count
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1
