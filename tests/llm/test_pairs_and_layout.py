@@ -97,6 +97,65 @@ def test_jaccard_measures_a_cluster_along_a_star(spark, monkeypatch):
     assert sum(counts) < 150
 
 
+def join_rows(spark, run):
+    """The rows that all joins make while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        run_id = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run_id), store.planGraph(run_id).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_components_meet_each_link_once(spark):
+    """A cluster's links are joined once, not once a turn, and links inside what is already one component go no further."""
+    links = spark.createDataFrame([(hub, v) for hub in range(3) for v in range(3, 303)], "a long, b long")
+    more = spark.createDataFrame([(3, v) for v in range(4, 303)] + [(400, 500), (302, 500)], "a long, b long")
+    found = []
+    assert 0 < join_rows(spark, lambda: found.append(jaccard.components(links))) < 2 * 900
+    assert {tuple(x) for x in found[0].collect()} == {(v, 0) for v in range(303)}
+    assert 0 < join_rows(spark, lambda: found.append(jaccard.components(more, start=found[0]))) < 4 * 306
+    assert {tuple(x) for x in found[1].collect()} == {(v, 0) for v in [*range(303), 400, 500]}
+
+
+def test_components_against_brute_force(spark):
+    r = random.Random(5)
+    for edges in ([(k, k + 1) for k in range(100)], [(r.randrange(60), r.randrange(60)) for _ in range(40)], [(7, 7)], []):
+        r.shuffle(edges)
+        least = {v: v for a, b in edges if a != b for v in (a, b)}
+        for _ in edges:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        cut = len(edges) // 2
+        parts = [spark.createDataFrame(e, "a long, b long") for e in (edges[:cut], edges[cut:])]
+        assert sorted(map(tuple, jaccard.components(parts[1], start=jaccard.components(parts[0])).collect())) == sorted(least.items())
+
+
+def test_jaccard_hands_each_link_to_components_once(spark, monkeypatch):
+    """Every turn adds its own links to the components so far; it does not begin again with those of all turns."""
+    handed, components = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links, *rest: (handed.append([tuple(x) for x in links.collect()]), components(links, *rest))[1])
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        t = [f"b{i}" for i in range(120)]
+        for i in r.sample(range(120), r.choice([1, 2, 3, 4])):
+            t[i] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(t)))
+    got = sorted((tuple(x) for x in jaccard.join(frame(spark, rows), leaf=4).collect()), key=str)
+    assert got == brute_components(rows)
+    every = [x for links in handed for x in links]
+    assert len(handed) > 1 and len(every) == len(set(every)) > 0
+
+
 def test_jaccard_resists_the_center_of_a_cloud(spark):
     # many variants of one text that lie beyond the limit from each other, but for chains among some
     r = random.Random(9)
