@@ -45,6 +45,26 @@ def test_near_duplicate_stage_is_idempotent(spark, sf_dir):
     assert once.where("doc_id is null").count() == 0
 
 
+def test_near_duplicate_stage_joins_each_link_once(spark, sf_dir, monkeypatch):
+    """Near copies that take several rounds: the stage hands every link to the components in one round only, and keeps one document a component."""
+    import random
+
+    from .test_pairs_and_layout import brute_components
+
+    handed, components = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links, *rest: (handed.append([tuple(x) for x in links.collect()]), components(links, *rest))[1])
+    r, rows = random.Random(9), []
+    for k in range(80):
+        t = [f"b{i}" for i in range(120)]
+        for i in r.sample(range(120), r.choice([1, 2, 3, 4])):
+            t[i] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(t)))
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(x.doc_id for x in kept) == sorted({x[2] for x in brute_components(rows)})
+    every = [x for links in handed for x in links]
+    assert len(handed) > 1 and len(every) == len(set(every)) > 0
+
+
 def test_run_against_brute_force(spark, sf_dir):
     """Each stage redone in plain Python, with the models that the stages fit."""
     import hashlib
