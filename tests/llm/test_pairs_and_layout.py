@@ -97,6 +97,31 @@ def test_jaccard_measures_a_cluster_along_a_star(spark, monkeypatch):
     assert sum(counts) < 150
 
 
+def test_jaccard_sends_a_set_once_not_once_a_pair(spark, monkeypatch):
+    """40 sets of one family have 780 pairs; each set goes to its pairs once, or, cut into small parts, once for each part it meets; other rows of the corpus are not sent at all."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["p", "q", "r"]) + str(j) for j in range(60)) for _ in range(40)] + [f"other {k} text of its own" for k in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {jaccard._keys(s)[0]: s for s in jaccard.shingle_sets([t.encode() for t in texts[:40]])}
+    keys = sorted(sets)
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]], "a long, b long")
+    classes = spark.createDataFrame([(k, 0, len(sets[k]), i) for i, k in enumerate(jaccard._keys(s)[0] for s in jaccard.shingle_sets([t.encode() for t in texts[:40]]))], "key long, key2 long, n long, rep long")
+    tables, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: tables.setdefault(name, write(df, name)))
+    whole = jaccard._whole_sets(docs, classes, pairs, jaccard.WORDS)
+    assert tables["jaccard-whole"].count() == 40
+    assert jaccard._sifted(docs, "doc_id", classes.select("rep")).count() < 60
+    for turn, part in enumerate((1 << 18, 300)):
+        monkeypatch.setattr(jaccard, "PART", part)
+        got = {(a, b): (round(d, 9), link) for a, b, d, link in jaccard._measure(whole, pairs, turn).collect()}
+        tables.pop("jaccard-families")
+        shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in got}
+        assert len(got) == 780
+        assert got == {(a, b): (round(1 - i / (u := len(sets[a]) + len(sets[b]) - i), 9), 100 * i >= 80 * u) for (a, b), i in shared.items()}
+    assert tables["jaccard-need-0"].count() == 40
+    assert 40 < tables["jaccard-need-1"].count() < 780
+
+
 def join_rows(spark, run):
     """The rows that all joins make while ``run`` runs."""
     store = spark._jsparkSession.sharedState().statusStore()
