@@ -65,6 +65,21 @@ def test_near_duplicate_stage_joins_each_link_once(spark, sf_dir, monkeypatch):
     assert len(handed) > 1 and len(every) == len(set(every)) > 0
 
 
+def test_near_duplicate_stage_sends_sets_not_pairs(spark, sf_dir, monkeypatch):
+    """Near copies with many pairs beside rows of their own: the stage writes the texts in pairs only, and sends each once a group."""
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["p", "q"]) + str(j) if j % 12 == 0 else f"b{j}" for j in range(120)) for _ in range(24)] + [f"row {k} with words of its own" for k in range(60)]
+    sent, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: (t := write(df, name), sent.setdefault(name, t))[0])
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sf_dir)
+    from .test_pairs_and_layout import brute_components
+
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({x[2] for x in brute_components(list(enumerate(texts)))})
+    assert sent["jaccard-whole"].count() == len(set(texts[:24])) <= sent["jaccard-need-0"].count() < 2 * 24
+
+
 def test_run_against_brute_force(spark, sf_dir):
     """Each stage redone in plain Python, with the models that the stages fit."""
     import hashlib
